@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.drift import canonical_names, layout_changes, parse_lines, unified_table
+from ..operators.faults import measurement_faults
 from ..operators.grid import regular_grid
 from ..operators.intervals import merge_intervals, micros
+from ..scratch import materialize
 
 BURST_LISTS = ("high_bursts", "low_bursts", "rest_bursts")
 
@@ -70,8 +73,37 @@ select recording_id, series_name, slot_no from g anti join h using (recording_id
 """
 
 
+def _export_lines(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(parse_lines(_table(spark, d, "cluster_exports")), "lines")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of layout between successive versions of a recording's export."""
+    return layout_changes(_export_lines(spark, d))
+
+
+def p3_table(spark: SparkSession, d: str) -> DataFrame:
+    """All readable export lines as one table under canonical field names."""
+    lines = _export_lines(spark, d)
+    return unified_table(lines, canonical_names(layout_changes(lines), lines))
+
+
+P7_FIELDS = {"peak_amp": "value", "peak_width": "positive", "exp_lambda": "positive", "spk_times_ms": "time"}
+
+
+def p7_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Every faulty reading with the kind of its fault."""
+    spikes = _table(spark, d, "cluster_df").select(F.col("recording_id").alias("source"), F.col("spk_id").alias("id"), *P7_FIELDS)
+    spans = _table(spark, d, "recordings").select(F.col("recording_id").alias("source"), F.col("duration_ms").alias("duration"))
+    return measurement_faults(spikes, P7_FIELDS, spans).withColumnRenamed("id", "spk_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_faults(spark, d).select("spk_id", "field_name")
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p5_series": p5_series}
+    return {"p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p5_found": p5_found, "p5_series": p5_series, "p7_found": p7_found, "p7_faults": p7_faults}
 
 
 def oracle_sql() -> dict[str, str]:
