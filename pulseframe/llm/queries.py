@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .clusters import similarity_groups
 from .nearest_time import nearest_time_join
 from .packing import pack_texts
 from .percentiles import group_percentiles, merge_counts, percentiles_from_counts, value_counts
@@ -99,6 +100,23 @@ v as (select long.*, cell_type from long join types using (recording_id) where v
 """
 
 
+P6_FEATURES = ["peak_sharpness", "inflection_time", "exp_lambda"]
+
+
+def _groups(spark: SparkSession, d: str):
+    spikes = _table(spark, d, "cluster_df").select(F.col("recording_id").alias("source"), F.col("spk_id").alias("id"), *P6_FEATURES)
+    return similarity_groups(spikes, P6_FEATURES)
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical spikes of every group."""
+    return _groups(spark, d)[1].select(F.col("source").alias("recording_id"), F.col("group_id").alias("first_spk_id"), "n_members", F.concat_ws(",", F.transform("typical", lambda x: x.cast("string"))).alias("typical_spk_ids"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _groups(spark, d)[0].filter("id != group_id").select(F.col("group_id").alias("first_spk_id"), F.col("id").alias("spk_id"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     """Which text lies in which container of 1,024 tokens."""
     return pack_texts(_table(spark, d, "documents").select("doc_id", "text"))
@@ -121,6 +139,8 @@ def queries() -> dict:
         "p2_found": p2_found,
         "p2_percentiles": p2_percentiles,
         "p2_merged": p2_merged,
+        "p6_found": p6_found,
+        "p6_groups": p6_groups,
         "p8_found": p8_found,
         "p8_containers": p8_containers,
         "p8_usage": p8_usage,
