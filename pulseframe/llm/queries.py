@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .clusters import similarity_groups
+from .leaks import find_leaks
 from .nearest_time import nearest_time_join
 from .packing import pack_texts
 from .percentiles import group_percentiles, merge_counts, percentiles_from_counts, value_counts
@@ -132,6 +133,20 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_containers(spark, d).filter("n_tokens > 1024 and piece_no = 0").select("doc_id")
 
 
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold passages of evaluation items, with the running words found."""
+    return find_leaks(_table(spark, d, "documents"), _table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_leaks(spark, d).select("item_id", "doc_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items by the number of documents that hold them."""
+    return p9_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("most_words"))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
@@ -144,6 +159,9 @@ def queries() -> dict:
         "p8_found": p8_found,
         "p8_containers": p8_containers,
         "p8_usage": p8_usage,
+        "p9_found": p9_found,
+        "p9_leaks": p9_leaks,
+        "p9_items": p9_items,
     }
 
 
