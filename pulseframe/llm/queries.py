@@ -10,6 +10,7 @@ from .leaks import find_leaks
 from .nearest_time import nearest_time_join
 from .packing import pack_texts
 from .percentiles import group_percentiles, merge_counts, percentiles_from_counts, value_counts
+from .truncation import truncated_texts
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -147,6 +148,21 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_words").alias("most_words"))
 
 
+def p10_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with the evidence for a cut."""
+    return truncated_texts(_table(spark, d, "documents").select("doc_id", "source", "text"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_texts(spark, d).filter("truncated").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts."""
+    t = p10_texts(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.col("truncated").cast("long")).alias("n_truncated"), F.max("at_limit").alias("has_limit"))
+    return t.select("*", F.round(F.col("n_truncated") / F.col("n_texts"), 6).alias("share"))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
@@ -162,6 +178,9 @@ def queries() -> dict:
         "p9_found": p9_found,
         "p9_leaks": p9_leaks,
         "p9_items": p9_items,
+        "p10_found": p10_found,
+        "p10_texts": p10_texts,
+        "p10_sources": p10_sources,
     }
 
 
