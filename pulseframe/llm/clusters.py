@@ -14,9 +14,11 @@ neighbouring tiles are joined through the nodes they share.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,12 +28,12 @@ from ..scratch import materialize
 #: Grid steps per unit of spread, tokens per feature, and the similarity from which two records are linked.
 STEPS, WINDOW, LINK = 4, 24, 0.67
 #: A tile's side in grid steps, and how far a link reaches at most: 3W(1-J)/(1+J) steps in sum.
-TILE = 64
+TILE = 128
 REACH = int(np.floor(3 * WINDOW * (1 - LINK) / (1 + LINK) + 1e-9))
 BANDS, ROWS = 12, 2
 LEAST = 5
 #: A component is loose if less than this share of its members reaches this similarity to its medoid.
-TIGHT, CORE = 0.75, 0.3
+TIGHT, CORE = 0.75, 0.2
 _SPLIT_ROUNDS = 20
 _SHARE = 10  # of 40 quantile steps: the shortest stretch with a quarter of the values
 
@@ -119,13 +121,14 @@ def link(space: np.ndarray, q: np.ndarray) -> np.ndarray:
     nodes are joined already need no more pairs; of the others every pair of different components is verified.
     """
     u = _Union(len(q))
+    by = np.argsort(q[:, 0], kind="stable")
     lines = [np.unique(q[:, f], return_inverse=True) for f in range(q.shape[1])]
     for band in range(BANDS):
         key = space.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         for r in range(ROWS):
             key = (key ^ _minhash(lines, band * ROWS + r + 1)) * np.uint64(0x9FB21C651E98DF25)
             key ^= key >> np.uint64(31)
-        order = np.lexsort((q[:, 0], key))
+        order = by[np.argsort(key[by], kind="stable")]
         k = key[order]
         same = k[1:] == k[:-1]
         a, b = order[:-1][same], order[1:][same]
@@ -146,13 +149,22 @@ def link(space: np.ndarray, q: np.ndarray) -> np.ndarray:
 def _degrees(space: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Records in the block of 3^d cells of one spread around every node."""
     c = np.floor_divide(q, STEPS)
-    cells, inverse = np.unique(np.column_stack((space, c)), axis=0, return_inverse=True)
+
+    def key(shift):
+        h = space.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for f, d in enumerate(shift):
+            h = (h ^ (c[:, f] + d).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        return h
+
+    cells, first, inverse = np.unique(key((0,) * q.shape[1]), return_index=True, return_inverse=True)
     held = np.bincount(inverse, n)
-    index = {tuple(x): i for i, x in enumerate(cells.tolist())}
+    space, c = space[first], c[first]
     near = np.zeros(len(cells))
-    shifts = np.stack(np.meshgrid(*[(-1, 0, 1)] * q.shape[1], indexing="ij"), -1).reshape(-1, q.shape[1])
-    for i, x in enumerate(cells.tolist()):
-        near[i] = sum(held[j] for s in shifts.tolist() if (j := index.get((x[0], *(p + d for p, d in zip(x[1:], s))))) is not None)
+    for shift in product((-1, 0, 1), repeat=q.shape[1]):
+        k = key(shift)
+        at = np.minimum(np.searchsorted(cells, k), len(cells) - 1)
+        near += np.where(cells[at] == k, held[at], 0)
     return near[inverse]
 
 
@@ -163,15 +175,16 @@ def _tiles(batches):
     def done(parts):
         t = pa.Table.from_batches(parts)
         space = np.unique(t["tile"].to_numpy(), return_inverse=True)[1]
-        q = np.column_stack([t[c].to_numpy() for c in t.column_names if c.startswith("q_")])
+        names = [c for c in t.column_names if c.startswith("q_")]
+        q = np.column_stack([t[c].to_numpy() for c in names])
         node = t["node"].to_numpy()
         by = np.lexsort((node, space))
         space, q, node = space[by], q[by], node[by]
         label = node[link(space, q)]
-        own = t["own"].to_numpy(zero_copy_only=False)[by]
-        shared = t["shared"].to_numpy(zero_copy_only=False)[by]
         degree = _degrees(space, q, t["n"].to_numpy()[by].astype(float))
-        return pa.record_batch([pa.array(node), pa.array(label), pa.array(own), pa.array(shared), pa.array(degree)], ["node", "label", "own", "shared", "degree"])
+        t = t.take(pa.array(by)).drop_columns(["tile"]).append_column("label", pa.array(label)).append_column("degree", pa.array(degree))
+        # of another tile's nodes only the label is needed
+        return t.filter(pc.or_(t["own"], t["shared"])).to_batches()
 
     for b in batches:
         if not b.num_rows:
@@ -181,13 +194,13 @@ def _tiles(batches):
         cut = np.flatnonzero(tile[1:] != tile[:-1])
         if rows >= 200_000 and len(cut):
             k = int(cut[0]) + 1
-            yield done([*held, b.slice(0, k)])
+            yield from done([*held, b.slice(0, k)])
             held, rows = [b.slice(k)], b.num_rows - k
         else:
             held.append(b)
             rows += b.num_rows
     if held:
-        yield done(held)
+        yield from done(held)
 
 
 def similarity_groups(df: DataFrame, features: list[str], *, source: str = "source", id: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -207,7 +220,7 @@ def similarity_groups(df: DataFrame, features: list[str], *, source: str = "sour
     scale = spreads(once, "source", features)
     # grid positions beyond 2^40 steps are one far cell
     grid = [F.greatest(F.lit(-(1 << 40)), F.least(F.lit(1 << 40), F.floor(F.col(f) * STEPS / F.col(f"s_{f}")))).cast("long").alias(f"q_{f}") for f in features]
-    placed = materialize(once.join(scale, "source").select("source", "id", *grid).withColumn("cell", F.xxhash64("source", *names)), "placed")
+    placed = materialize(once.join(scale, "source").select("source", "id", *grid), "placed")
     nodes = placed.groupBy("source", *names).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     tile = lambda c, by: F.floor((F.col(c) + by) / TILE)
     spots = [F.array_distinct(F.array(tile(c, -REACH), tile(c, REACH))) for c in names]
@@ -216,16 +229,18 @@ def similarity_groups(df: DataFrame, features: list[str], *, source: str = "sour
         cut = cut.withColumn(f"t{i}", F.explode(s))
     home = reduce(lambda a, b: a & b, [F.col(f"t{i}") == tile(c, 0) for i, c in enumerate(names)])
     many = reduce(lambda a, b: a | b, [F.size(s) > 1 for s in spots])
-    cut = cut.select(F.xxhash64("source", *[f"t{i}" for i in range(len(names))]).alias("tile"), "node", "n", home.alias("own"), many.alias("shared"), *names)
+    cut = cut.select(F.xxhash64("source", *[f"t{i}" for i in range(len(names))]).alias("tile"), "source", "node", "n", home.alias("own"), many.alias("shared"), *names)
     local = cut.repartition("tile").sortWithinPartitions("tile")
-    found = materialize(local.mapInArrow(_tiles, "node long, label long, own boolean, shared boolean, degree double"), "tiles")
+    schema = "source string, node long, n long, own boolean, shared boolean, " + ", ".join(f"{c} long" for c in names) + ", label long, degree double"
+    found = materialize(local.mapInArrow(_tiles, schema), "tiles")
     # a node seen in several tiles joins their components
     seen = found.filter("shared").alias("x")
     here = found.filter("shared and own").alias("y")
     merged = connected_components(seen.join(here, F.col("x.node") == F.col("y.node")).select(F.col("x.label").alias("a"), F.col("y.label").alias("b")).filter("a != b").distinct())
     own = found.filter("own")
-    label = own.join(merged, own["label"] == merged["node"], "left").select(own["node"], F.coalesce(merged["label"], own["label"]).alias("comp"), "degree")
-    at = materialize(nodes.join(label, "node").select("source", *names, "node", "n", "comp", "degree"), "nodes")
+    merged = merged.select(F.col("node").alias("was"), F.col("label").alias("whole"))
+    at = own.join(merged, own["label"] == merged["was"], "left").select("source", *names, "node", "n", F.coalesce("whole", "label").alias("comp"), "degree")
+    at = materialize(at, "nodes")
     at = _split_loose(at, names)
     members = materialize(placed.join(at.select("source", *names, "comp", "degree"), ["source", *names]).select("source", "id", "comp", "degree"), "members")
     # the best of every salt, then the best three of the group: no group is collected
@@ -239,16 +254,33 @@ def similarity_groups(df: DataFrame, features: list[str], *, source: str = "sour
 
 
 def _split_loose(at: DataFrame, names: list[str]) -> DataFrame:
-    """Split components held together by chains: around the medoid of highest degree, again for the rest."""
+    """Split components held together by chains: around the medoid of highest degree, again for the rest.
+
+    Only components whose extent reaches beyond the least similarity to their medoid are looked at.
+    """
+    reach = WINDOW * len(names) * (1 - CORE) / (1 + CORE)
+
+    def medoids(df):
+        best = df.groupBy("comp").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node", *names)).alias("m"), *[f(c).alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))])
+        far = reduce(lambda a, b: a + b, [F.least(F.lit(WINDOW), F.greatest(F.col(f"hi_{c}") - F.col(f"m.{c}"), F.col(f"m.{c}") - F.col(f"lo_{c}"))) for c in names])
+        return best.filter(far > reach).select("comp", "m")
+
+    wide = materialize(medoids(at), "wide")
+    if not wide.limit(1).count():
+        return at
+    tight = at.join(wide, "comp", "left_anti")
+    part, done = materialize(at.join(wide, "comp", "left_semi"), "wide"), []
     for _ in range(_SPLIT_ROUNDS):
-        best = at.groupBy("comp").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node", *names)).alias("m"))
-        j = at.join(best, "comp")
+        j = part.join(medoids(part), "comp", "left")
         d = reduce(lambda a, b: a + b, [F.least(F.lit(WINDOW), F.abs(F.col(c) - F.col(f"m.{c}"))) for c in names])
-        j = j.select(*at.columns, (d <= F.lit(WINDOW * len(names) * (1 - CORE) / (1 + CORE))).alias("near"))
+        j = j.select(*at.columns, F.coalesce(d <= reach, F.lit(True)).alias("near"))
         loose = j.groupBy("comp").agg((F.sum(F.when(F.col("near"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"), F.min(F.when(~F.col("near"), F.col("node"))).alias("rest"))
-        loose = materialize(loose.filter(F.col("share") < TIGHT).select("comp", "rest"), "loose")
-        if not loose.limit(1).count():
+        split = j.join(loose.filter(F.col("share") < TIGHT).select("comp", "rest"), "comp", "left")
+        split = materialize(split.select(*[F.when(F.col("rest").isNotNull() & ~F.col("near"), F.col("rest")).otherwise(F.col("comp")).alias("comp") if c == "comp" else c for c in at.columns], F.col("rest").isNotNull().alias("again")), "split")
+        done.append(split.filter("not again").select(*at.columns))
+        part = split.filter("again").select(*at.columns)
+        if not part.limit(1).count():
             break
-        split = j.join(loose, "comp", "left")
-        at = materialize(split.select(*[F.when(F.col("rest").isNotNull() & ~F.col("near"), F.col("rest")).otherwise(F.col("comp")).alias("comp") if c == "comp" else c for c in at.columns]), "nodes")
-    return at
+    else:
+        done.append(part)
+    return reduce(DataFrame.unionByName, done, tight.select(*at.columns))
