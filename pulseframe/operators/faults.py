@@ -73,11 +73,11 @@ def stuck(u: np.ndarray) -> np.ndarray:
     length = np.diff(np.append(start, n))
     if length.max() < RUN:
         return out
-    # chance that two readings agree, over one reading of each run
-    _, c = np.unique(u[start], return_counts=True)
-    same = (c * (c - 1)).sum() / max(1, len(start) * (len(start) - 1))
+    _, at, count = np.unique(u, return_inverse=True, return_counts=True)
     for s, k in zip(start[length >= RUN], length[length >= RUN]):
-        if n * same ** (k - 1) <= CHANCE:
+        # how often the value occurs outside of the run gives the chance that it follows itself
+        share = (count[at[s]] - k) / max(1, n - k)
+        if n * share ** (k - 1) <= CHANCE:
             out[s : s + k] = True
     return out
 
@@ -151,8 +151,8 @@ def _scanner(fields: dict[str, str]):
             own = t["own"].to_numpy(zero_copy_only=False)[keep]
             duration = float(t["duration"].to_numpy()[0])
             got = []
-            for f, rule in fields.items():
-                v = t[f].to_numpy()[keep]
+            for i, (f, rule) in enumerate(fields.items()):
+                v = t[f"v{i}"].to_numpy()[keep]
                 code = _judge(np.asarray(v, float), rule, duration)
                 hit = np.flatnonzero((code > 0) & own)
                 if len(hit):
@@ -173,7 +173,7 @@ def measurement_faults(df: DataFrame, fields: dict[str, str], durations: DataFra
     readings are no cases and do not break a run. Repeated ids count once; rows with a null source or id
     are left out; a series of fewer than 8 readings has no spikes. An empty table gives no rows.
     """
-    rows = df.select(F.col(source).cast("string").alias("src"), F.col(id).cast("long").alias("id"), *[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(f) for f in fields]).filter("src is not null and id is not null")
+    rows = df.select(F.col(source).cast("string").alias("src"), F.col(id).cast("long").alias("id"), *[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(f"v{i}") for i, f in enumerate(fields)]).filter("src is not null and id is not null")
     about = rows.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
     if durations is not None:
         d = durations.select(F.col("source").cast("string").alias("src"), F.col("duration").cast("double").alias("duration")).groupBy("src").agg(F.max("duration").alias("duration"))
@@ -191,6 +191,6 @@ def measurement_faults(df: DataFrame, fields: dict[str, str], durations: DataFra
     seen = F.array_distinct(F.array(blk, F.floor((at - halo) / F.col("width")).cast("long"), F.floor((at + halo) / F.col("width")).cast("long")))
     zero = F.lit(0).cast("long")
     cut = j.withColumn("home", F.coalesce(blk, zero)).withColumn("blk", F.explode(F.when(F.col("width").isNull(), F.array(zero)).otherwise(seen))).withColumn("own", F.col("blk") == F.col("home"))
-    cut = cut.withColumn("g", F.xxhash64("src", "blk")).select("g", "src", "blk", "id", "own", "duration", *fields)
+    cut = cut.withColumn("g", F.xxhash64("src", "blk")).select("g", "src", "blk", "id", "own", "duration", *[f"v{i}" for i in range(len(fields))])
     sorted_ = cut.repartition("g").sortWithinPartitions("g", "src", "blk", "id").drop("src", "blk")
     return sorted_.mapInArrow(_scanner(dict(fields)), "id long, field_name string, fault string")

@@ -75,7 +75,7 @@ def gaussian_cycles(s, d):
     """Cycle points, shape and fit of inverted waveforms."""
 
     def fit(w, fs):
-        x = -w[150:260]
+        x = -w[100:300]
         c = gaussian.trough_cycles(x)
         if not c:
             return np.full(5, np.nan)

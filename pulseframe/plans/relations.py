@@ -295,7 +295,7 @@ def oracle_sql():
         "wide_pivot_join": E + " select user_id, count(*) filter (where event_type = 'purchase') n_purchase, count(*) filter (where event_type = 'view') n_view, round(arg_max(value, (us, event_id)), 6) last_value from e group by 1",
         "first_transition_delta": E + ", x as (select *, lag(event_type) over w pt, lag(value) over w pv, stddev_pop(value) over (partition by user_id) sd from e window w as (partition by user_id order by us, event_id)), r as (select *, row_number() over (partition by user_id order by us, event_id) k from x where pt is not null and pt != event_type) select user_id, event_id, round(case when event_type >= pt then 1.0 else -1.0 end * (value - pv) / (sd + 1e-12), 6) delta from r where k = 1",
         "coalesce_versions": "select o_orderkey, round(case when o_totalprice > 1000 then o_totalprice * 0.9::double else o_totalprice end, 4) price from orders where o_orderstatus != 'O'",
-        "yield_prevalence": "select o_orderpriority, count(distinct o_custkey) k, round(avg(o_totalprice), 4) mean_price, round(100.0::double * count(distinct o_custkey) / (select count(distinct o_custkey) from orders), 6) pct from orders group by 1",
+        "yield_prevalence": "select o_orderpriority, count(distinct o_custkey) k, round(avg(o_totalprice), 6) mean_price, round(100.0::double * count(distinct o_custkey) / (select count(distinct o_custkey) from orders), 6) pct from orders group by 1",
         "jaccard_sets": "with u as (select distinct user_id, event_type t from events), n as (select t, count(*) n from u group by 1), b as (select x.t a, y.t b, count(*) inter from u x join u y using (user_id) where x.t < y.t group by 1, 2) select a, b, inter, round(inter / (p.n + q.n - inter), 6) jaccard from b join n p on p.t = a join n q on q.t = b",
         "minority_fraction": "with g as (select user_id, value > 50 up, count(*) n from events group by 1, 2) select user_id, round(min(n) / sum(n), 6) minority from g group by 1 having count(*) = 2",
         "top_k_entities": "select o_custkey, count(*) n, round(avg(o_totalprice), 4) mean_price from orders group by 1 having bool_or(o_totalprice > 300000) and count(*) >= 3 order by avg(o_totalprice) desc, o_custkey limit 10",
