@@ -223,7 +223,7 @@ def similarity_groups(df: DataFrame, features: list[str], *, source: str = "sour
     placed = materialize(once.join(scale, "source").select("source", "id", *grid), "placed")
     nodes = placed.groupBy("source", *names).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     tile = lambda c, by: F.floor((F.col(c) + by) / TILE)
-    spots = [F.array_distinct(F.array(tile(c, -REACH), tile(c, REACH))) for c in names]
+    spots = [F.array_distinct(F.array(tile(c, 0), tile(c, -REACH), tile(c, REACH))) for c in names]
     cut = nodes
     for i, s in enumerate(spots):
         cut = cut.withColumn(f"t{i}", F.explode(s))

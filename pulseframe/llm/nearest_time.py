@@ -87,8 +87,9 @@ def nearest_time_join(left: DataFrame, right: DataFrame, tolerance_us: int, *, e
     carry = back.join(ahead, ["pid", "ent"])
     # at most two carry rows per partition; the size is bounded by the number of partitions
     carry = F.broadcast(carry) if n <= 20_000 else carry
+    # of equal times the record of the earlier partition has the smaller id
     bt = F.coalesce("bt", F.col("pv.bt"))
-    bid = F.coalesce("bid", F.col("pv.bid"))
+    bid = F.when(F.col("bt") > F.col("pv.bt"), F.col("bid")).otherwise(F.coalesce("pv.bid", "bid"))
     ft = F.coalesce("ft", F.col("nx.ft"))
     fid = F.coalesce("fid", F.col("nx.fid"))
     j = scanned.filter("kind = 1").join(carry, ["pid", "ent"], "left").select(F.col("id").alias("left_id"), "t", bt.alias("bt"), bid.alias("bid"), ft.alias("ft"), fid.alias("fid"))
