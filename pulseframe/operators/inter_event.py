@@ -36,14 +36,17 @@ def log10_positive(c: Column) -> Column:
     return F.when(c > 0, F.log10(c))
 
 
-def transitions(df: DataFrame, entity: str, label: str, *order: str) -> DataFrame:
-    """(from_label, to_label, n, p): counts of successive labels, normalised over each from_label."""
-    w = ordered(entity, *order)
-    pairs = df.select(F.col(label).alias("from_label"), F.lead(label).over(w).alias("to_label")).filter("from_label is not null and to_label is not null")
-    n = pairs.groupBy("from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
+def transition_counts(pairs: DataFrame) -> DataFrame:
+    """(from_label, to_label, n, p) of pairs of successive labels; a label never left has no row."""
+    n = pairs.filter("from_label is not null and to_label is not null").groupBy("from_label", "to_label").agg(F.count(F.lit(1)).alias("n"))
     return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("from_label")))
 
 
+def transitions(df: DataFrame, entity: str, label: str, *order: str) -> DataFrame:
+    """Counts of successive labels of an entity, normalised over each label that is left."""
+    return transition_counts(df.select(F.col(label).alias("from_label"), F.lead(label).over(ordered(entity, *order)).alias("to_label")))
+
+
 def equal_bins(x: Column, lo: Column, hi: Column, n: int) -> Column:
     """0-based equal-width bin, the last one closed on the right; null where the range is empty."""
     return F.when(hi > lo, F.least(F.floor((x - lo) / ((hi - lo) / n)), F.lit(n - 1))).cast("long")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import inter_event as ie
+from ..operators.hot import row_windows
 from .base import E, events, table
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
@@ -20,16 +21,21 @@ _PREV = "round((us - lag(us) over w) / 1000.0, 6)"
 _W = " window w as (partition by user_id order by us, event_id)"
 
 
+def near(s, d, before, after, columns):
+    """Events with windows over their users' neighbouring events; a user may hold any share of them."""
+    return row_windows(events(s, d), "user_id", ["us", "event_id"], before, after, columns)
+
+
 def r6(c):
     return F.round(c, 6)
 
 
 def isi_next(s, d):
-    return events(s, d).select("event_id", r6(ie.isi_next("us", W())).alias("isi"))
+    return near(s, d, 0, 1, {"isi": lambda w: ie.isi_next("us", w)}).select("event_id", r6("isi").alias("isi"))
 
 
 def isi_prev(s, d):
-    return events(s, d).select("event_id", r6(ie.isi_prev("us", W())).alias("isi_prev"))
+    return near(s, d, 1, 0, {"isi_prev": lambda w: ie.isi_prev("us", w)}).select("event_id", r6("isi_prev").alias("isi_prev"))
 
 
 def event_count_preceding(s, d):
@@ -37,7 +43,8 @@ def event_count_preceding(s, d):
 
 
 def log_isi_features(s, d):
-    return events(s, d).select("event_id", r6(ie.log10_positive(ie.isi_next("us", W()))).alias("log_isi"), r6(ie.log10_positive(ie.isi_prev("us", W()))).alias("log_isi_prev"))
+    e = near(s, d, 1, 1, {"a": lambda w: ie.isi_next("us", w), "b": lambda w: ie.isi_prev("us", w)})
+    return e.select("event_id", r6(ie.log10_positive(F.col("a"))).alias("log_isi"), r6(ie.log10_positive(F.col("b"))).alias("log_isi_prev"))
 
 
 def quality_filter(s, d):
@@ -48,7 +55,7 @@ def quality_filter(s, d):
 
 def local_maxima(s, d):
     """Strict local maxima of the value series of a user, at least 50 high."""
-    e = events(s, d).select("event_id", "user_id", "value", F.lag("value").over(W()).alias("a"), F.lead("value").over(W()).alias("b"))
+    e = near(s, d, 1, 1, {"a": lambda w: F.lag("value").over(w), "b": lambda w: F.lead("value").over(w)})
     return e.filter("value > a and value > b and value >= 50").select("event_id", "user_id", r6("value").alias("value"))
 
 
@@ -81,14 +88,15 @@ def dedup_keep_first(s, d):
 
 def decay_duplicates(s, d):
     """Events kept: none of the five before is higher."""
-    top = F.max("value").over(W().rowsBetween(-5, -1))
-    return events(s, d).withColumn("top", top).filter("top is null or top <= value").select("event_id", r6("value").alias("value"))
+    e = near(s, d, 5, 0, {"top": lambda w: F.max("value").over(w.rowsBetween(-5, -1))})
+    return e.filter("top is null or top <= value").select("event_id", r6("value").alias("value"))
 
 
 def window_slice_stats(s, d):
     """Mean, extremes and spread of the eleven events around each one; events near an end are dropped."""
-    w = W().rowsBetween(-5, 5)
-    e = events(s, d).select("event_id", F.count(F.lit(1)).over(w).alias("n"), F.avg("value").over(w).alias("m"), F.min("value").over(w).alias("lo"), F.max("value").over(w).alias("hi"))
+    frame = lambda f: lambda w: f("value").over(w.rowsBetween(-5, 5))
+    rows = lambda w: F.count(F.lit(1)).over(w.rowsBetween(-5, 5))
+    e = near(s, d, 5, 5, {"n": rows, "m": frame(F.avg), "lo": frame(F.min), "hi": frame(F.max)})
     return e.filter("n = 11").select("event_id", r6("m").alias("mean"), r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
@@ -102,12 +110,14 @@ def window_drop_edges(s, d):
 def sharpness(s, d):
     """Mean drop from an event to its second neighbours."""
     v = F.col("value")
-    return events(s, d).select("event_id", r6(((v - F.lag("value", 2).over(W())) + (v - F.lead("value", 2).over(W()))) / 2).alias("sharpness"))
+    e = near(s, d, 2, 2, {"a": lambda w: F.lag("value", 2).over(w), "b": lambda w: F.lead("value", 2).over(w)})
+    return e.select("event_id", r6(((v - F.col("a")) + (v - F.col("b"))) / 2).alias("sharpness"))
 
 
 def shape_symmetry(s, d):
     """Around local minima: durations to the neighbouring extremes and their fractions of the whole."""
-    e = events(s, d).select("event_id", "user_id", "us", "value", F.lag("value").over(W()).alias("a"), F.lead("value").over(W()).alias("b"), F.lag("us").over(W()).alias("ua"), F.lead("us").over(W()).alias("ub"))
+    at = lambda f, c: lambda w: f(c).over(w)
+    e = near(s, d, 1, 1, {"a": at(F.lag, "value"), "b": at(F.lead, "value"), "ua": at(F.lag, "us"), "ub": at(F.lead, "us")})
     t = e.filter("value < a and value < b and ub > ua")
     return t.select("event_id", ((F.col("us") - F.col("ua")) / 1000.0).alias("decay_ms"), ((F.col("ub") - F.col("us")) / 1000.0).alias("rise_ms"), r6((F.col("us") - F.col("ua")) / (F.col("ub") - F.col("ua"))).alias("decay_sym"))
 
@@ -120,7 +130,8 @@ def trough_threshold(s, d):
 
 
 def transition_matrix(s, d):
-    t = ie.transitions(events(s, d), "user_id", "event_type", "us", "event_id")
+    e = near(s, d, 0, 1, {"to_label": lambda w: F.lead("event_type").over(w)})
+    t = ie.transition_counts(e.select(F.col("event_type").alias("from_label"), "to_label"))
     return t.select("from_label", "to_label", "n", r6("p").alias("p"))
 
 
@@ -141,8 +152,7 @@ def label_rate_bins(s, d):
 
 def rolling_mean_centered(s, d):
     """Centred rolling mean over 50 events (25 before, 24 after) where all are there."""
-    w = W().rowsBetween(-25, 24)
-    e = events(s, d).select("event_id", F.count("value").over(w).alias("n"), F.avg("value").over(w).alias("m"))
+    e = near(s, d, 25, 24, {"n": lambda w: F.count("value").over(w.rowsBetween(-25, 24)), "m": lambda w: F.avg("value").over(w.rowsBetween(-25, 24))})
     return e.filter("n = 50").select("event_id", r6("m").alias("rolling_mean"))
 
 
@@ -184,7 +194,7 @@ def rate_stability(s, d):
 
 def isi_regularity(s, d):
     """Coefficient of variation of the intervals of users with three events or more."""
-    i = events(s, d).select("user_id", ie.isi_next("us", W()).alias("isi"))
+    i = near(s, d, 0, 1, {"isi": lambda w: ie.isi_next("us", w)})
     g = i.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("isi").alias("m"), F.stddev_pop("isi").alias("sd"))
     return g.filter("n >= 3 and m > 0").select("user_id", "n", r6(F.col("sd") / F.col("m")).alias("cv"))
 
