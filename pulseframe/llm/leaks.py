@@ -27,9 +27,9 @@ from ..scratch import materialize
 #: Words of a window, Hamming radius, and blocks of a 64-bit fingerprint (one more than the radius).
 WINDOW, RADIUS, BLOCKS = 8, 3, 4
 #: Running words of an item that count as a leak; words that window pairs on one diagonal must cover before the exact alignment.
-LEAK, SEED = 24, 14
-#: Words skipped on either side inside a piece, the smallest piece of a passage in two, and the share of a passage's words that must agree.
-SLIP, PIECE, AGREE = 4, 8, 0.75
+LEAK, SEED = 24, 10
+#: Words of a shingle, words skipped on either side between shared shingles of a piece, the smallest piece of a passage in two, and the share of a piece's words that shared shingles must cover.
+SHINGLE, SLIP, PIECE, AGREE = 5, 6, 12, 0.8
 #: A sentence is stock if it stands in this share of all texts and in this many at least.
 STOCK_SHARE, STOCK_TEXTS = 0.004, 5
 #: Items that are held in memory at once, words that are fingerprinted at once, words remembered by a task.
@@ -152,7 +152,7 @@ def _seeds(doc: np.ndarray, item: np.ndarray, b: np.ndarray, a: np.ndarray) -> l
 
 
 def _runs(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int]]:
-    """Maximal runs (place in the item, place in the text, words >= 3) of equal words."""
+    """Maximal runs (place in the item, place in the text, words) of shared shingles."""
     same = item[:, None] == text[None, :]
     # words that stand in line: count along diagonals
     a, b = np.nonzero(same)
@@ -161,7 +161,7 @@ def _runs(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int]]:
     new = np.concatenate(([True], (b[1:] - a[1:] != b[:-1] - a[:-1]) | (a[1:] != a[:-1] + 1)))
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(a)))
-    keep = size >= 3
+    keep = size >= SHINGLE
     return sorted(zip(a[start[keep]].tolist(), b[start[keep]].tolist(), size[keep].tolist()), key=lambda r: r[1])
 
 
@@ -212,7 +212,7 @@ def leaked_words(found: list[list[tuple[int, int]]], stock: set[int]) -> int:
         lo, hi = chain[0][0], max(z for _, z in chain)
         free = [p for p in range(lo, hi) if p not in stock]
         agree = len([p for p in free if p in hit])
-        if agree and agree >= AGREE * len(free):
+        if agree >= PIECE and agree >= AGREE * len(free):
             spans.append((lo, hi, agree, len(free)))
     best = max((n for *_, n in spans), default=0)
     for x in spans:
@@ -299,8 +299,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``docs``: (doc_id bigint, text), ``items``: (item_id bigint, text); other columns are ignored. Result:
     (item_id, doc_id, n_words), one row per pair in which ``n_words`` >= 24 running words of the item stand
-    in the text, in one piece or in two that follow each other in the item, with up to four words changed,
-    left out or added between runs of equal ones. Case, blanks and punctuation don't matter; words of stock
+    in the text, in one piece or in two that follow each other in the item, where shared five-word shingles cover at
+    least 80 % of each piece (so single words may be changed, left out or added). Case, blanks and punctuation don't matter; words of stock
     sentences don't count. Null, empty and short texts or items give no rows; repeated doc_ids give one row;
     texts of any length are scanned whole. An empty table gives no rows.
     """
