@@ -115,6 +115,9 @@ def truncated_texts(docs: DataFrame) -> DataFrame:
     begun = ends.groupBy("k1").agg(F.sum("n").alias("of"))
     usual = ends.join(begun, "k1").filter(f"k2 != '' and n >= {ENDS} and n >= {END_SHARE} * of").select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.lit(True).alias("usual"))
     judged = tails.join(recurring, "short", "left").join(usual, (F.col("k1") == F.col("u1")) & (F.col("last") == F.col("u2")), "left")
+    # a line of one token is whole only if it recurs: a cut leaves such lines, too, all of them alike
+    judged = judged.withColumn("usual", F.col("usual") & ((F.col("short") != F.col("k1")) | F.col("recurs").isNotNull()))
+    judged = judged.withColumn("usual", F.when(F.col("usual"), True))
     # the text proper ends in the last line that does not recur; a recurring line is whole, or it may be a cut itself
     proper = judged.filter("recurs is null or (usual is null and not mark)").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).filter("r = 1")
     # the trie: every prefix of a known word, kept where it is asked for
