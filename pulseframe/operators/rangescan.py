@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from ..scratch import materialize
 
@@ -118,3 +118,37 @@ def number_rows(df: DataFrame, key: str, order: list[str], partitions: int | Non
     sums = local.groupBy("pid", "key").agg((F.max("rank") + 1).alias("c"))
     off = exclusive_scan(sums, ["key"], "c", "sum", "off")
     return local.join(off, ["pid", "key"], "left").withColumn("rank", F.col("rank") + F.coalesce("off", F.lit(0))).select(*cols, "rank")
+
+
+def _running(batches):
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches)
+    code = t["grp"].combine_chunks().dictionary_encode()
+    code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy()
+    n = t["n"].to_numpy()
+    start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    total = np.cumsum(n)
+    base = np.repeat(np.where(start > 0, total[start - 1], 0), np.diff(np.append(start, len(code))))
+    last = np.zeros(len(code), bool)
+    last[np.append(start[1:], len(code)) - 1] = True
+    edge = ((code == code[0]) | (code == code[-1])) & last
+    yield from t.append_column("run", pa.array(total - base)).append_column("edge", pa.array(edge)).to_batches()
+
+
+def cumulative_counts(counts: DataFrame, value: str, partitions: int | None = None) -> DataFrame:
+    """Add ``cum``: the cumulative frequency of each row of (grp string, value, n bigint, ...) within its group.
+
+    Groups must not be null and may span many tasks: partitions add up their own running sums, and what
+    earlier partitions hold of an edge group is added by a prefix scan.
+    """
+    parts = partitions or range_partitions(counts.sparkSession, counts)
+    cols = counts.columns
+    sorted_ = range_sorted(counts, ["grp", value], parts)
+    schema = StructType([*sorted_.schema.fields, StructField("run", LongType()), StructField("edge", BooleanType())])
+    run = materialize(sorted_.mapInArrow(_running, schema), "cumulative")
+    # an edge row's running sum is what its partition adds to the group
+    carry = exclusive_scan(run.filter("edge"), ["grp"], "run", "sum", "off")
+    carry = F.broadcast(carry) if parts <= 20_000 else carry
+    return run.join(carry, ["pid", "grp"], "left").withColumn("cum", F.col("run") + F.coalesce("off", F.lit(0))).select(*cols, "cum")

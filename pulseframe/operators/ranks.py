@@ -9,13 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hot import HOT_BYTES
+from .rangescan import cumulative_counts, plan_bytes
 
-def average_ranks(df: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
-    """(group..., value, n, rank): each distinct value with its average rank among all rows of its group."""
+
+def average_ranks(df: DataFrame, value: str, group: list[str] | None = None, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """(group..., value, n, rank): each distinct value with its average rank among all rows of its group.
+
+    Cumulative frequencies come from a window, or, for tables of more than ``hot_bytes`` whose groups may not
+    fit in a task, from a range sort with partition offsets.
+    """
     g = group or []
     c = df.filter(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*g).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return c.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2.0)
+    if plan_bytes(df) < hot_bytes:
+        w = Window.partitionBy(*g).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        c = c.withColumn("cum", F.sum("n").over(w))
+    else:
+        c = cumulative_counts(c.withColumn("grp", F.coalesce(F.to_json(F.struct(*g)), F.lit("")) if g else F.lit("")), value).drop("grp")
+    return c.withColumn("rank", F.col("cum") - (F.col("n") - 1) / 2.0).drop("cum")
 
 
 def rank_sums(df: DataFrame, value: str, label: str, group: list[str] | None = None) -> DataFrame:
