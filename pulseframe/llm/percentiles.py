@@ -8,13 +8,10 @@ files merge by adding counts, and the result equals that over all rows.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.rangescan import exclusive_scan, range_partitions, range_sorted
-from ..scratch import materialize
+from ..operators.rangescan import cumulative_counts
 
 
 def value_counts(df: DataFrame, group: str, value: str, resolution: float | None = None) -> DataFrame:
@@ -38,26 +35,6 @@ def merge_counts(*tables: DataFrame) -> DataFrame:
     return whole.groupBy("grp", "v").agg(F.sum("n").alias("n"))
 
 
-def _running(batches):
-    batches = list(batches)
-    if not batches:
-        return
-    t = pa.Table.from_batches(batches)
-    if not t.num_rows:
-        return
-    names = t["grp"].combine_chunks()
-    code = names.dictionary_encode()
-    code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy()
-    n = t["n"].to_numpy()
-    start = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-    total = np.cumsum(n)
-    base = np.repeat(np.where(start > 0, total[start - 1], 0), np.diff(np.append(start, len(code))))
-    edge = (code == code[0]) | (code == code[-1])
-    last = np.zeros(len(code), bool)
-    last[np.append(start[1:], len(code)) - 1] = True
-    yield from pa.table([t["pid"], names, t["v"], pa.array(n), pa.array(total - base), pa.array(edge & last)], ["pid", "grp", "v", "n", "run", "edge"]).to_batches()
-
-
 def percentiles_from_counts(counts: DataFrame, qs: dict[str, float], partitions: int | None = None) -> DataFrame:
     """Percentiles per group from a count table (grp, v, n).
 
@@ -66,13 +43,8 @@ def percentiles_from_counts(counts: DataFrame, qs: dict[str, float], partitions:
     floor(h)+1 and ceil(h)+1 are picked and joined in proportion. Groups without values are absent;
     an empty table gives no rows. A group may hold any share of the rows and span many tasks.
     """
-    parts = partitions or range_partitions(counts.sparkSession)
-    run = materialize(range_sorted(counts, ["grp", "v"], parts).select("pid", "grp", "v", "n").mapInArrow(_running, "pid int, grp string, v double, n long, run long, edge boolean"), "percentiles")
-    # an edge row's running sum is what its partition adds to the group
-    carry = exclusive_scan(run.filter("edge"), ["grp"], "run", "sum", "off")
-    carry = F.broadcast(carry) if parts <= 20_000 else carry
-    cum = run.join(carry, ["pid", "grp"], "left").withColumn("cum", F.col("run") + F.coalesce("off", F.lit(0)))
-    size = run.groupBy("grp").agg(F.sum("n").alias("n_values"))
+    cum = cumulative_counts(counts.select("grp", "v", "n"), "v", partitions)
+    size = cum.groupBy("grp").agg(F.max("cum").alias("n_values"))
     j = cum.join(size, "grp")
     picks, outs = [], []
     for name, q in qs.items():
