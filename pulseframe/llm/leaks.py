@@ -27,7 +27,7 @@ from ..scratch import materialize
 #: Words of a window, Hamming radius, and blocks of a 64-bit fingerprint (one more than the radius).
 WINDOW, RADIUS, BLOCKS = 8, 3, 4
 #: Running words of an item that count as a leak; words that window pairs on one diagonal must cover before the exact alignment.
-LEAK, SEED = 24, 10
+LEAK, SEED = 24, 12
 #: Words of a shingle, words skipped on either side between shared shingles of a piece, the smallest piece of a passage in two, and the share of a piece's words that shared shingles must cover.
 SHINGLE, SLIP, PIECE, AGREE = 5, 6, 12, 0.8
 #: A sentence is stock if it stands in this share of all texts and in this many at least.
@@ -46,33 +46,48 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+class _Numbers(dict):
+    """Word to number; a new word gets the next one and its 64 signs."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.signs = np.empty((1 << 12, 64), np.int8)
+
+    def __missing__(self, word):
+        k = self[word] = len(self)
+        if k >= len(self.signs):
+            self.signs = np.concatenate((self.signs, np.empty_like(self.signs)))
+        bits = np.unpackbits(np.frombuffer(xxhash.xxh3_64_digest(word.encode()), np.uint8))
+        self.signs[k] = bits.astype(np.int8) * 2 - 1
+        return k
+
+
 class _Vocabulary:
     """Numbers words and keeps 64 signs per word."""
 
     def __init__(self):
-        self.ids: dict[str, int] = {}
-        self.signs = np.empty((1 << 12, 64), np.int8)
+        self.ids = _Numbers()
+        self.known = 0
 
     def number(self, ws: list[str]) -> np.ndarray:
-        ids = self.ids
-        out = np.empty(len(ws), np.int64)
-        for i, w in enumerate(ws):
-            k = ids.get(w)
-            if k is None:
-                k = ids[w] = len(ids)
-                if k >= len(self.signs):
-                    self.signs = np.concatenate((self.signs, np.empty_like(self.signs)))
-                bits = np.unpackbits(np.frombuffer(xxhash.xxh3_64_digest(w.encode()), np.uint8))
-                self.signs[k] = bits.astype(np.int8) * 2 - 1
-            out[i] = k
-        return out
+        return np.fromiter(map(self.ids.__getitem__, ws), np.int64, len(ws))
+
+    def keep(self) -> None:
+        """The words so far keep their numbers for good."""
+        self.known = len(self.ids)
+
+    def forget(self) -> None:
+        """All other words are met anew."""
+        signs = self.ids.signs
+        self.ids = _Numbers(list(self.ids.items())[: self.known])
+        self.ids.signs = signs[: max(self.known, 1 << 12)].copy()
 
     def fingerprints(self, ids: np.ndarray) -> np.ndarray:
         """SimHash of every window of WINDOW words."""
         n = len(ids) - WINDOW + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        s = self.signs[ids]
+        s = self.ids.signs[ids]
         total = s[:n].copy()
         for k in range(1, WINDOW):
             total += s[k : k + n]
@@ -151,18 +166,33 @@ def _seeds(doc: np.ndarray, item: np.ndarray, b: np.ndarray, a: np.ndarray) -> l
     return list(out)
 
 
+def _shingles(ids: np.ndarray) -> np.ndarray:
+    n = max(0, len(ids) - SHINGLE + 1)
+    h = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n].astype(np.uint64) + np.uint64(1)
+    return h
+
+
 def _runs(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int]]:
-    """Maximal runs (place in the item, place in the text, words) of shared shingles."""
-    same = item[:, None] == text[None, :]
-    # words that stand in line: count along diagonals
-    a, b = np.nonzero(same)
-    order = np.lexsort((a, b - a))
-    a, b = a[order], b[order]
+    """Maximal runs (place in the item, place in the text, words) of shared shingles, in the text's order."""
+    mine, other = _shingles(item), _shingles(text)
+    order = np.argsort(mine, kind="stable")
+    lo, hi = np.searchsorted(mine[order], other, "left"), np.searchsorted(mine[order], other, "right")
+    k = hi - lo
+    at = np.flatnonzero(k)
+    b = np.repeat(at, k[at])
+    if not len(b):
+        return []
+    a = order[np.repeat(lo[at], k[at]) + np.arange(len(b)) - np.repeat(np.cumsum(k[at]) - k[at], k[at])]
+    same = (item[a[:, None] + np.arange(SHINGLE)] == text[b[:, None] + np.arange(SHINGLE)]).all(1)
+    a, b = a[same], b[same]
+    by = np.lexsort((a, b - a))
+    a, b = a[by], b[by]
     new = np.concatenate(([True], (b[1:] - a[1:] != b[:-1] - a[:-1]) | (a[1:] != a[:-1] + 1)))
     start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(a)))
-    keep = size >= SHINGLE
-    return sorted(zip(a[start[keep]].tolist(), b[start[keep]].tolist(), size[keep].tolist()), key=lambda r: r[1])
+    size = np.diff(np.append(start, len(a))) + SHINGLE - 1
+    return sorted(zip(a[start].tolist(), b[start].tolist(), size.tolist()), key=lambda r: r[1]) if len(a) else []
 
 
 def pieces(item: np.ndarray, text: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -170,37 +200,28 @@ def pieces(item: np.ndarray, text: np.ndarray) -> list[list[tuple[int, int]]]:
 
     Each piece is its runs as (first, behind last) places in the item, in order.
     """
-    known = np.isin(text, item)
-    # only stretches of the text with several of the item's words in line can hold a piece
     found: list[list[tuple[int, int]]] = []
-    spots = np.flatnonzero(known)
-    if not len(spots):
-        return found
-    for part in np.split(spots, np.flatnonzero(np.diff(spots) > 2 * SLIP) + 1):
-        if len(part) < PIECE:
+    runs = _runs(item, text)
+    best: list[tuple[int, int | None]] = []
+    for j, (a, b, n) in enumerate(runs):
+        score, came = n, None
+        for i in range(j - 1, -1, -1):
+            pa_, pb, pn = runs[i]
+            if b - pb > len(item) + SLIP:
+                break
+            if -2 <= a - (pa_ + pn) <= SLIP and -2 <= b - (pb + pn) <= SLIP and a > pa_ and b > pb and best[i][0] + n > score:
+                score, came = best[i][0] + n, i
+        best.append((score, came))
+    used: set[int] = set()
+    for j in sorted(range(len(runs)), key=lambda k: -best[k][0]):
+        if j in used or best[j][0] < PIECE:
             continue
-        for lo in range(int(part[0]), int(part[-1]) + 1, 3_000):  # a long stretch in overlapping portions
-            runs = _runs(item, text[lo : min(lo + 4_000, int(part[-1]) + 1)])
-            best: list[tuple[int, int | None]] = []
-            for j, (a, b, n) in enumerate(runs):
-                score, came = n, None
-                for i in range(j - 1, -1, -1):
-                    pa_, pb, pn = runs[i]
-                    if b - (pb + pn) > SLIP + 60:
-                        break
-                    if -2 <= a - (pa_ + pn) <= SLIP and -2 <= b - (pb + pn) <= SLIP and a > pa_ and b > pb and best[i][0] + n > score:
-                        score, came = best[i][0] + n, i
-                best.append((score, came))
-            used: set[int] = set()
-            for j in sorted(range(len(runs)), key=lambda k: -best[k][0]):
-                if j in used or best[j][0] < PIECE:
-                    continue
-                chain, k = [], j
-                while k is not None and k not in used:
-                    chain.append((runs[k][0], runs[k][0] + runs[k][2]))
-                    used.add(k)
-                    k = best[k][1]
-                found.append(chain[::-1])
+        chain, k = [], j
+        while k is not None and k not in used:
+            chain.append((runs[k][0], runs[k][0] + runs[k][2]))
+            used.add(k)
+            k = best[k][1]
+        found.append(chain[::-1])
     return found
 
 
@@ -229,7 +250,7 @@ def _scanner(items: list[tuple[int, str]], portion: int):
     def scan(batches):
         vocabulary = _Vocabulary()
         index = _Items(items, vocabulary)
-        base = dict(vocabulary.ids)
+        vocabulary.keep()
         counts: dict[str, int] = {}
         for batch in batches:
             rows = []
@@ -257,9 +278,8 @@ def _scanner(items: list[tuple[int, str]], portion: int):
                 if size >= CHUNK:
                     flush()
             flush()
-            if len(vocabulary.ids) > KNOWN:  # the items' words keep their numbers, all others are met anew
-                vocabulary.ids = dict(base)
-                vocabulary.signs = vocabulary.signs[: max(len(base), 1 << 12)].copy()
+            if len(vocabulary.ids) > KNOWN:
+                vocabulary.forget()
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_OUT)
         if counts:

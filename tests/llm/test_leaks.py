@@ -48,6 +48,7 @@ def test_finds_passages_whole_and_in_part(spark, monkeypatch):
     assert run(spark, docs, [*asked, (70, None), (71, ""), (72, "short one")]) == want
     monkeypatch.setattr(leaks, "PORTION", 2)
     monkeypatch.setattr(leaks, "CHUNK", 333)
+    monkeypatch.setattr(leaks, "KNOWN", 100)
     assert run(spark, docs, asked) == want
 
 
@@ -86,3 +87,31 @@ def test_block_lookup_is_complete_within_the_radius():
 
 def test_words():
     assert words("A *bold*  Naïve\n12.5, re-run_x") == ["a", "bold", "naïve", "12", "5", "re", "run", "x"]
+
+
+def test_forgetting_words_keeps_those_of_the_items():
+    v = leaks._Vocabulary()
+    a = v.number(["x", "y", "x"])
+    v.keep()
+    v.number(["z", "q"])
+    before = v.ids.signs[:2].copy()
+    v.forget()
+    assert v.number(["y", "new", "x"]).tolist() == [a[1], 2, a[0]] and (v.ids.signs[:2] == before).all()
+
+
+def test_runs_are_maximal():
+    rng = np.random.default_rng(6)
+    item, doc = rng.integers(0, 50, 60), rng.integers(0, 50, 300)
+    doc[100:130] = item[10:40]
+    doc[200:206] = item[0:6]
+    got = leaks._runs(item, doc)
+    want = []
+    for a in range(60):
+        for b in range(300):
+            if item[a] == doc[b] and (a == 0 or b == 0 or item[a - 1] != doc[b - 1]):
+                n = 0
+                while a + n < 60 and b + n < 300 and item[a + n] == doc[b + n]:
+                    n += 1
+                if n >= leaks.SHINGLE:
+                    want.append((a, b, n))
+    assert sorted(got) == sorted(want)
