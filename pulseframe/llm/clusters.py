@@ -32,9 +32,12 @@ TILE = 128
 REACH = int(np.floor(3 * WINDOW * (1 - LINK) / (1 + LINK) + 1e-9))
 BANDS, ROWS = 12, 2
 LEAST = 5
-#: A component is loose if less than this share of its members reaches this similarity to its medoid.
-TIGHT, CORE = 0.75, 0.2
-_SPLIT_ROUNDS = 20
+#: A component is loose if less than this share of its members is near its medoid.
+TIGHT = 0.75
+#: Near is closer than WINDOW steps in sum over the features, so no feature's tokens are wholly disjoint: a Jaccard similarity above 0.5.
+CORE_REACH = WINDOW - 1
+#: Nodes of a loose component that one task splits; rounds of larger ones before their settled rows are written as one table.
+LOCAL, _COMPACT = 50_000, 16
 _SHARE = 10  # of 40 quantile steps: the shortest stretch with a quarter of the values
 
 
@@ -253,34 +256,54 @@ def similarity_groups(df: DataFrame, features: list[str], *, source: str = "sour
     return members.join(groups.select("comp", "group_id"), "comp").select("source", "id", "group_id", "degree"), out
 
 
+def _peel(names: list[str]):
+    """Split one loose component in memory, as ``_split_loose`` does in rounds."""
+
+    def run(pdf):
+        pdf = pdf.iloc[np.lexsort((pdf["node"], -pdf["degree"]))]
+        q, n, node = pdf[names].to_numpy(), pdf["n"].to_numpy(), pdf["node"].to_numpy()
+        comp, left, label = pdf["comp"].to_numpy().copy(), np.arange(len(pdf)), pdf["comp"].iat[0]
+        while len(left):
+            near = np.minimum(np.abs(q[left] - q[left[0]]), WINDOW).sum(1) <= CORE_REACH
+            if n[left[near]].sum() >= TIGHT * n[left].sum():
+                near[:] = True
+            comp[left[near]] = label
+            left = left[~near]
+            label = node[left].min() if len(left) else label
+        return pdf.assign(comp=comp)
+
+    return run
+
+
 def _split_loose(at: DataFrame, names: list[str]) -> DataFrame:
-    """Split components held together by chains: around the medoid of highest degree, again for the rest.
+    """Split components held together by chains: around the medoid of highest degree, again for the rest, until none is loose.
 
-    Only components whose extent reaches beyond the least similarity to their medoid are looked at.
+    Every round settles the records near the medoid of each loose component (the medoid at least), so the
+    loop ends; loose components of up to ``LOCAL`` nodes are split by one task each. Only components whose
+    extent reaches beyond ``CORE_REACH`` are looked at.
     """
-    reach = WINDOW * len(names) * (1 - CORE) / (1 + CORE)
 
-    def medoids(df):
+    def near():
+        return reduce(lambda a, b: a + b, [F.least(F.lit(WINDOW), F.abs(F.col(c) - F.col(f"m.{c}"))) for c in names]) <= CORE_REACH
+
+    def loose(df):
         best = df.groupBy("comp").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node", *names)).alias("m"), *[f(c).alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))])
         far = reduce(lambda a, b: a + b, [F.least(F.lit(WINDOW), F.greatest(F.col(f"hi_{c}") - F.col(f"m.{c}"), F.col(f"m.{c}") - F.col(f"lo_{c}"))) for c in names])
-        return best.filter(far > reach).select("comp", "m")
-
-    wide = materialize(medoids(at), "wide")
-    if not wide.limit(1).count():
-        return at
-    tight = at.join(wide, "comp", "left_anti")
-    part, done = materialize(at.join(wide, "comp", "left_semi"), "wide"), []
-    for _ in range(_SPLIT_ROUNDS):
-        j = part.join(medoids(part), "comp", "left")
-        d = reduce(lambda a, b: a + b, [F.least(F.lit(WINDOW), F.abs(F.col(c) - F.col(f"m.{c}"))) for c in names])
-        j = j.select(*at.columns, F.coalesce(d <= reach, F.lit(True)).alias("near"))
-        loose = j.groupBy("comp").agg((F.sum(F.when(F.col("near"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"), F.min(F.when(~F.col("near"), F.col("node"))).alias("rest"))
-        split = j.join(loose.filter(F.col("share") < TIGHT).select("comp", "rest"), "comp", "left")
-        split = materialize(split.select(*[F.when(F.col("rest").isNotNull() & ~F.col("near"), F.col("rest")).otherwise(F.col("comp")).alias("comp") if c == "comp" else c for c in at.columns], F.col("rest").isNotNull().alias("again")), "split")
-        done.append(split.filter("not again").select(*at.columns))
-        part = split.filter("again").select(*at.columns)
-        if not part.limit(1).count():
-            break
-    else:
-        done.append(part)
-    return reduce(DataFrame.unionByName, done, tight.select(*at.columns))
+        j = df.join(best.filter(far > CORE_REACH).select("comp", "m"), "comp").withColumn("near", near())
+        share = F.sum(F.when(F.col("near"), F.col("n")).otherwise(0)) / F.sum("n")
+        cut = j.groupBy("comp").agg(share.alias("share"), F.min(F.when(~F.col("near"), F.col("node"))).alias("rest"), F.first("m").alias("m"), F.count(F.lit(1)).alias("nodes"))
+        return materialize(cut.filter(F.col("share") < TIGHT).select("comp", "rest", "m", "nodes"), "loose")
+
+    part, done = at, []
+    while (cut := loose(part)).limit(1).count():
+        done.append(part.join(cut, "comp", "left_anti").select(*at.columns))
+        small = part.join(cut.filter(F.col("nodes") <= LOCAL), "comp", "left_semi").select(*at.columns)
+        done.append(materialize(small.groupBy("comp").applyInPandas(_peel(names), at.schema), "peeled"))
+        if not (large := cut.filter(F.col("nodes") > LOCAL)).limit(1).count():
+            return reduce(DataFrame.unionByName, done)
+        split = materialize(part.join(large, "comp").withColumn("near", near()).select(*at.columns, "rest", "near"), "split")
+        done.append(split.filter("near").select(*at.columns))
+        part = split.filter("not near").withColumn("comp", F.col("rest")).select(*at.columns)
+        if len(done) > 3 * _COMPACT:
+            done = [materialize(reduce(DataFrame.unionByName, done), "settled")]
+    return reduce(DataFrame.unionByName, done, part)

@@ -81,3 +81,20 @@ def test_loose_groups_are_split(spark):
     dense = [("a", 1000 + i, float(v), float(v) * 0, 0.0) for i, v in enumerate(np.random.default_rng(6).normal(50, 3, 400))]
     groups = similarity_groups(spark.createDataFrame(line + dense, SCHEMA), FEATURES)[1].collect()
     assert sum(r.n_members for r in groups) == 800
+
+
+@pytest.mark.parametrize("local", [50_000, 0])
+def test_states_far_apart_in_one_feature_are_split_for_good(spark, monkeypatch, local):
+    monkeypatch.setattr(clusters, "LOCAL", local)
+    rng = np.random.default_rng(7)
+    rows = [("a", i, *map(float, p)) for i, p in enumerate(np.vstack((rng.normal((0, 0, 0), 1, (300, 3)), rng.normal((15, 0, 0), 1, (200, 3)))))]
+    # bridging spikes join the two states
+    rows += [("a", 600 + i, float(x), 0.0, 0.0) for i, x in enumerate(np.arange(0.5, 15, 0.5))]
+    # a long thin chain leaves a dense state: more balls around medoids than the 20 rounds once allowed
+    rows += [("b", 1000 + i, *map(float, p)) for i, p in enumerate(rng.normal((0, 0, 0), 1, (250, 3)))]
+    rows += [("b", 2000 + i, 2.0 + 2.4 * i, 0.0, 0.0) for i in range(110 if local else 85)]
+    got = {r.id: r.group_id for r in similarity_groups(spark.createDataFrame(rows, SCHEMA), FEATURES)[0].collect()}
+    first, second = ([got.get(i) for i in ids] for ids in (range(300), range(300, 500)))
+    most = [max(set(g), key=g.count) for g in (first, second)]
+    assert most[0] != most[1] and first.count(most[0]) >= 290 and second.count(most[1]) >= 190
+    assert max([sum(got.get(i) == g for i in range(2010, 2110)) for g in set(got.values())]) <= 10
