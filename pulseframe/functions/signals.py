@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -158,6 +160,7 @@ def welch_psd(x: np.ndarray, fs: float, nperseg: int) -> tuple[np.ndarray, np.nd
     return np.fft.rfftfreq(n, 1 / fs), p
 
 
+@lru_cache(256)
 def slepian(n: int, nw: float, k: int) -> np.ndarray:
     """The first k discrete prolate spheroidal sequences, of unit energy."""
     i = np.arange(n)
@@ -172,13 +175,19 @@ def slepian(n: int, nw: float, k: int) -> np.ndarray:
     return tapers
 
 
-def multitaper_psd(x: np.ndarray, fs: float, nw: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
-    """Power density averaged over 2NW-1 tapers; the mean is removed first."""
+def multitaper_psd(x: np.ndarray, fs: float, nw: float = 2.5, longest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Power density averaged over 2NW-1 tapers; the mean is removed first.
+
+    A series of more than ``longest`` samples is cut into segments of that length, evenly placed from its
+    first to its last sample so that every sample enters, and their densities are averaged.
+    """
     x = np.asarray(x, float) - np.mean(x)
-    t = slepian(len(x), nw, max(1, int(2 * nw - 1)))
-    p = (np.abs(np.fft.rfft(t * x, axis=1)) ** 2).mean(0) / fs
-    p[1 : -1 if len(x) % 2 == 0 else None] *= 2
-    return np.fft.rfftfreq(len(x), 1 / fs), p
+    n = min(len(x), longest or len(x))
+    at = np.linspace(0, len(x) - n, -(-len(x) // n)).astype(int)
+    t = slepian(n, nw, max(1, int(2 * nw - 1)))
+    p = sum((np.abs(np.fft.rfft(t * x[a : a + n], axis=1)) ** 2).mean(0) for a in at) / (len(at) * fs)
+    p[1 : -1 if n % 2 == 0 else None] *= 2
+    return np.fft.rfftfreq(n, 1 / fs), p
 
 
 def aperiodic_fit(freqs: np.ndarray, power: np.ndarray, lo: float, hi: float) -> dict:

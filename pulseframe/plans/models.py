@@ -120,8 +120,10 @@ def welch_psd(s, d):
 
 
 def multitaper_psd(s, d):
+    """Strongest frequency and power of the whole series; beyond 512 events the mean over segments of 512."""
+
     def fn(w, fs):
-        f, p = signals.multitaper_psd(w[:64], fs)
+        f, p = signals.multitaper_psd(w, fs, longest=512)
         return f[np.argmax(p[1:]) + 1], p.sum()
 
     return _kernel(s, d, fn, ["peak_freq", "power"])
