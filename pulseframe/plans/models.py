@@ -24,66 +24,74 @@ def r6(c):
     return F.round(c, 6)
 
 
-def _recordings(s, d):
-    """One simulated recording per region, made on the executors, as chunks."""
-    ids = table(s, d, "region").select(F.col("r_regionkey").cast("int").alias("k")).distinct()
+#: For sample previews, in preview steps: six samples on either side of a peak above the resting level.
+PREVIEW = SpikeConfig(window_ms=(6.0, 6.0), threshold=-60.0, refractory_ms=3.0, pre_inflection_ms=3.0)
+#: One preview step counts as a millisecond of PREVIEW.
+STEP_FS = 1_000.0
+
+
+def _previews(s, d):
+    """The previews of all recordings as joined chunks, samples numbered in preview steps.
+
+    Every chunk of a recording spans the same time and is thinned to the same number of samples; ``step_us``
+    is the time between two of them.
+    """
+    r = table(s, d, "recordings").filter("recording_id is not null and chunk_id is not null")
+    about = r.groupBy("recording_id").agg(F.coalesce(F.max(F.when(F.col("samples").isNotNull(), F.size("samples"))), F.lit(0)).alias("k"), (F.max("chunk_id") + 1).alias("chunks"), F.max("duration_ms").alias("ms"))
+    about = about.filter("k > 0").withColumn("step_us", F.col("ms") * 1000 / (F.col("chunks") * F.col("k")))
+    chunks = r.join(about, "recording_id").select("recording_id", F.lit(STEP_FS).alias("fs"), "chunk_id", (F.col("chunk_id") * F.col("k")).cast("long").alias("sample_offset"), "samples", "arrived_at")
+    return chunks, about.select("recording_id", "step_us")
 
-    def make(it):
-        for pdf in it:
-            for k in pdf["k"]:
-                x, _ = spikefit.simulate_recording(1.5, 20_000.0, int(k))
-                at = range(0, len(x), 8_000)
-                yield pd.DataFrame({"recording_id": f"sim{k}", "fs": 20_000.0, "chunk_id": list(range(len(at))), "sample_offset": list(at), "samples": [x[a : a + 8_000].tolist() for a in at]})
 
-    return ids.mapInPandas(make, "recording_id string, fs double, chunk_id int, sample_offset long, samples array<double>")
+def _events(s, d):
+    return spikes.detect(_previews(s, d)[0], PREVIEW)
 
 
 def waveform_features(s, d):
-    """Detection, control points, features and intervals over chunked recordings."""
-    f = spikes.fit(_recordings(s, d), SpikeConfig())
+    """Detection, control points, features (in preview steps) and intervals (in real time) over the recordings' chunks."""
+    chunks, steps = _previews(s, d)
+    f = spikes.features(spikes.detect(chunks, PREVIEW), PREVIEW).join(steps, "recording_id")
+    f = spikes.inter_event(f.withColumn("t_us", F.round(F.col("sample_idx") * F.col("step_us")).cast("long")))
     return f.select("recording_id", "sample_idx", *[F.round(c, 4).alias(c) for c in ("ramp_amp", "inflection_time", "peak_amp", "peak_width", "peak_sharpness", "isi", "isi_prev")], "n_spikes_50ms", "n_spikes_200ms")
 
 
 def exp_decay_fit(s, d):
-    f = spikes.features(spikes.detect(_recordings(s, d)))
+    f = spikes.features(_events(s, d), PREVIEW)
     return f.filter("exp_lambda is not null").select("recording_id", "sample_idx", F.round("exp_lambda", 4).alias("exp_lambda"), F.round("exp_const", 3).alias("exp_const"), F.round("r2_exp", 4).alias("r2_exp"))
 
 
 def control_points(s, d):
-    f = spikes.features(spikes.detect(_recordings(s, d)))
+    f = spikes.features(_events(s, d), PREVIEW)
     return f.filter("peak is not null").select("recording_id", "sample_idx", "ramp_start", "inflection", "rise", "peak", "decay", "exp_start", "exp_end")
 
 
 def alt_python(s, d):
     """A user's Python function over every window."""
-    e = spikes.detect(_recordings(s, d))
-    return spikes.alt(e, lambda w, fs: (w.mean(), w.std()), ["alt_mean", "alt_std"]).select("recording_id", "sample_idx", r6("alt_mean").alias("alt_mean"), r6("alt_std").alias("alt_std"))
+    return spikes.alt(_events(s, d), lambda w, fs: (w.mean(), w.std()), ["alt_mean", "alt_std"]).select("recording_id", "sample_idx", r6("alt_mean").alias("alt_mean"), r6("alt_std").alias("alt_std"))
 
 
 def piecewise_poly(s, d):
     """Three joined polynomials per detected waveform."""
 
     def fit(w, fs):
-        return np.concatenate(spikefit.piecewise_poly(w, [100, 190, 210, 300], [1, 3, 3]))
+        return np.concatenate(spikefit.piecewise_poly(w, [0, 3, 8, 13], [1, 3, 3]))
 
-    e = spikes.detect(_recordings(s, d))
     names = [f"poly{i}_c{j}" for i, n in enumerate((2, 4, 4)) for j in range(n)]
-    return spikes.alt(e, fit, names).select("recording_id", "sample_idx", *[F.round(c, 5).alias(c) for c in names])
+    return spikes.alt(_events(s, d), fit, names).select("recording_id", "sample_idx", *[F.round(c, 5).alias(c) for c in names])
 
 
 def gaussian_cycles(s, d):
     """Cycle points, shape and fit of inverted waveforms."""
 
     def fit(w, fs):
-        x = -w[100:300]
+        x = -w
         c = gaussian.trough_cycles(x)
         if not c:
             return np.full(5, np.nan)
         g = gaussian.shape(x, c[0])
         return (g["time_decay"], g["time_rise"], g["time_decay_sym"], g["volt_trough"], gaussian.fit_cycle(x, 1)[1])
 
-    e = spikes.detect(_recordings(s, d))
-    return spikes.alt(e, fit, ["time_decay", "time_rise", "decay_sym", "volt_trough", "r2"]).select("recording_id", "sample_idx", *[F.round(c, 4).alias(c) for c in ("time_decay", "time_rise", "decay_sym", "volt_trough", "r2")])
+    return spikes.alt(_events(s, d), fit, ["time_decay", "time_rise", "decay_sym", "volt_trough", "r2"]).select("recording_id", "sample_idx", *[F.round(c, 4).alias(c) for c in ("time_decay", "time_rise", "decay_sym", "volt_trough", "r2")])
 
 
 def _series(s, d):
