@@ -7,7 +7,7 @@ on one diagonal make a candidate; the exact alignment of the words around it dec
 of stock sentences (sentences that recur throughout the corpus) weigh nothing.
 
 The items are the stated query set, held in memory in portions of bounded size; texts are only
-scanned, never shuffled or compared with each other.
+scanned, never shuffled or compared with each other but for the hashes that tell copies.
 """
 
 from __future__ import annotations
@@ -32,6 +32,10 @@ LEAK, SEED = 24, 12
 SHINGLE, SLIP, PIECE, AGREE = 5, 6, 12, 0.8
 #: A sentence is stock if it stands in this share of all texts and in this many at least.
 STOCK_SHARE, STOCK_TEXTS = 0.004, 5
+#: Characters of words on either side that tell surroundings apart: beyond a block of stock sentences, so that copies of a text count once.
+AROUND = 300
+#: (sentence, surroundings) pairs that a task gathers before it passes them on.
+_FLUSH = 100_000
 #: Items that are held in memory at once, words that are fingerprinted at once, words remembered by a task.
 PORTION, CHUNK, KNOWN = 2_000, 100_000, 400_000
 
@@ -251,7 +255,13 @@ def _scanner(items: list[tuple[int, str]], portion: int):
         vocabulary = _Vocabulary()
         index = _Items(items, vocabulary)
         vocabulary.keep()
-        counts: dict[str, int] = {}
+        stands: set[tuple[str, int]] = set()
+
+        def drain():
+            got = pa.RecordBatch.from_pylist([{"kind": 1, "item_id": portion, "n": n, "sentence": s} for s, n in stands], schema=_OUT)
+            stands.clear()
+            return got
+
         for batch in batches:
             rows = []
             held: list[np.ndarray] = []
@@ -270,8 +280,7 @@ def _scanner(items: list[tuple[int, str]], portion: int):
                 if len(ws) < PIECE:
                     continue
                 if index.sentences:
-                    for s in {s for _, s in index.automaton.iter(f" {' '.join(ws)} ")}:
-                        counts[s] = counts.get(s, 0) + 1
+                    stands.update(_surroundings(index.automaton, f" {' '.join(ws)} "))
                 held.append(vocabulary.number(ws))
                 ids.append(doc)
                 size += len(ws)
@@ -282,12 +291,25 @@ def _scanner(items: list[tuple[int, str]], portion: int):
                 vocabulary.forget()
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_OUT)
-        if counts:
-            yield pa.RecordBatch.from_pylist([{"kind": 1, "item_id": portion, "n": n, "sentence": s} for s, n in counts.items()], schema=_OUT)
+            if len(stands) > _FLUSH:
+                yield drain()
+        if stands:
+            yield drain()
 
     return scan
 
 
+def _surroundings(automaton, text: str):
+    """Each sentence that stands in a text with a hash of the words around its first occurrence."""
+    first: dict[str, int] = {}
+    for end, s in automaton.iter(text):
+        first.setdefault(s, end)
+    for s, end in first.items():
+        at = end - len(s) - 1
+        around = f"{text[max(0, at - AROUND) : at]}\n{text[end + 1 : end + 1 + AROUND]}"
+        yield s, xxhash.xxh3_64_intdigest(around.encode()) - (1 << 63)
+
+
 def _compare(index: _Items, vocabulary: _Vocabulary, held: list[np.ndarray], ids: list[int]) -> list[dict]:
     if not held:
         return []
@@ -336,8 +358,9 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     for s in scans[1:]:
         whole = whole.unionByName(s)
     found = materialize(whole, "leaks")
-    total = texts.count()
-    often = found.filter("kind = 1").groupBy("sentence", "item_id").agg(F.sum("n").alias("n"))
+    # copies of a text vouch for their sentences once, and only their hashes are compared
+    total = texts.select(F.xxhash64("text").alias("h")).distinct().count()
+    often = found.filter("kind = 1").groupBy("sentence", "item_id").agg(F.countDistinct("n").alias("n"))
     least = max(STOCK_TEXTS, STOCK_SHARE * total)
     # bounded by the number of the items' sentences
     stock_sentences = {r["sentence"] for r in often.filter(F.col("n") >= least).select("sentence").collect()}

@@ -60,6 +60,17 @@ def test_stock_sentences_do_not_count(spark):
     assert run(spark, docs, [(1, item)]) == {(1, 50)}
 
 
+def test_copies_of_a_text_make_no_stock_sentences(spark):
+    rng = random.Random(7)
+    sentence = lambda n: " ".join(text(rng, n)).capitalize() + "."
+    item = " ".join(sentence(12) for _ in range(4))
+    stock = " ".join(sentence(12) for _ in range(3))
+    leak = f"{sentence(40)} {item} {sentence(70)}"
+    docs = [(i, leak) for i in range(10)] + [(10 + i, f"{leak} {sentence(5)}") for i in range(2)] + [(12, f"{sentence(60)} {item}")]
+    docs += [(20 + i, f"{sentence(80)} {stock}") for i in range(12)] + [(50, f"{sentence(80)} {stock}")]
+    assert run(spark, docs, [(1, item), (2, stock)]) == {(1, i) for i in range(13)}
+
+
 def test_very_long_text_and_empty_tables(spark):
     rng = random.Random(3)
     item = text(rng, 60)
