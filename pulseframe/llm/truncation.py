@@ -5,7 +5,8 @@ One pass over the corpus counts its words, the ways its lines end and its short
 joined with the final tokens; no dictionary is held by a task or the driver. A text is cut if its text
 proper ends in an unknown proper prefix of known words, in an ellipsis, or in a line that stays open:
 without an end mark and not the way lines of its kind end. Length evidence (texts piling up at their
-source's greatest length, in characters or bytes) settles lines that could be complete.
+source's greatest length, in characters or bytes) settles lines that could be complete. Copies of a text vote once, and what
+may be a text's own cut is left out of the votes that judge it.
 """
 
 from __future__ import annotations
@@ -32,18 +33,18 @@ _WORD = re.compile(r"[^\W\d_]+")
 _END_MARK = re.compile(r"[.!?:;。！？][\"'”’»)\]*_`]*$|[\"”»)\]]$")
 _ELLIPSIS = re.compile(r"(…|\.\.\.)[\"'”’»)\]*_]*$")
 
-_SCHEMA = "kind string, k1 string, k2 string, n long, doc_id long, source string, chars long, bytes long, pos int, mark boolean, dots boolean, word string"
+_SCHEMA = "kind string, k1 string, k2 string, n double, doc_id long, source string, chars long, bytes long, pos int, mark boolean, dots boolean, word string"
 _ARROW = pa.schema(
-    [("kind", pa.string()), ("k1", pa.string()), ("k2", pa.string()), ("n", pa.int64()), ("doc_id", pa.int64()), ("source", pa.string()), ("chars", pa.int64()), ("bytes", pa.int64()), ("pos", pa.int32()), ("mark", pa.bool_()), ("dots", pa.bool_()), ("word", pa.string())]
+    [("kind", pa.string()), ("k1", pa.string()), ("k2", pa.string()), ("n", pa.float64()), ("doc_id", pa.int64()), ("source", pa.string()), ("chars", pa.int64()), ("bytes", pa.int64()), ("pos", pa.int32()), ("mark", pa.bool_()), ("dots", pa.bool_()), ("word", pa.string())]
 )
 #: Counts of a task are passed on when so many keys have gathered.
 _FLUSH = 200_000
 
 
 def _counter():
-    words: dict[str, int] = {}
-    ends: dict[tuple[str, str], int] = {}
-    lines: dict[str, int] = {}
+    words: dict[str, float] = {}
+    ends: dict[tuple[str, str], float] = {}
+    lines: dict[str, float] = {}
 
     def drain():
         n = len(words) + len(ends) + len(lines)
@@ -64,23 +65,22 @@ def _counter():
                 for name, column in got.items():
                     column.append(row.get(name))
 
-            for doc, source, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "text"))):
+            for doc, source, text, vote in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "source", "text", "vote"))):
                 text = text.rstrip()
                 if not text:
                     continue
-                body = _WORD.findall(text.lower())
-                for w in set(body[:-1]):
-                    words[w] = words.get(w, 0) + 1
                 parts = [p for line in text.split("\n") if (p := line.strip())]
+                for w in _inner_words(parts):
+                    words[w] = words.get(w, 0) + vote
                 for i, line in enumerate(parts):
                     first, last, short, mark = _shape(line)
-                    ends[first, "" if mark else last] = ends.get((first, "" if mark else last), 0) + 1
+                    ends[first, "" if mark else last] = ends.get((first, "" if mark else last), 0) + vote
                     if short:
-                        lines[short] = lines.get(short, 0) + 1
+                        lines[short] = lines.get(short, 0) + vote
                 for pos, line in enumerate(reversed(parts[-TAIL_LINES:])):
                     first, last, short, mark = _shape(line)
                     final = re.search(r"([^\W\d_]+)[*_`]*$", line)
-                    add(kind="d", k1=first, k2=f"{last}\n{short or ''}", doc_id=doc, source=source, chars=len(text), bytes=len(text.encode()), pos=pos, mark=mark, dots=bool(_ELLIPSIS.search(line)), word=final[1].lower() if final else None)
+                    add(kind="d", n=vote, k1=first, k2=f"{last}\n{short or ''}", doc_id=doc, source=source, chars=len(text), bytes=len(text.encode()), pos=pos, mark=mark, dots=bool(_ELLIPSIS.search(line)), word=final[1].lower() if final else None)
             yield pa.RecordBatch.from_pydict(got, schema=_ARROW)
             if len(words) + len(ends) + len(lines) > _FLUSH:
                 yield drain()
@@ -89,6 +89,15 @@ def _counter():
     return scan
 
 
+def _inner_words(parts: list[str]) -> set[str]:
+    """Words of a text but for those that end it or an open line near its end: a service line may follow the cut."""
+    body = [_WORD.findall(line.lower()) for line in parts]
+    for k in range(max(0, len(parts) - TAIL_LINES), len(parts)):
+        if k == len(parts) - 1 or not _END_MARK.search(parts[k]) or _ELLIPSIS.search(parts[k]):
+            body[k] = body[k][:-1]
+    return {w for line in body for w in line}
+
+
 def _shape(line: str) -> tuple[str, str, str | None, bool]:
     """First and last token with digits levelled, the whole levelled line if short, and whether it has an end mark."""
     short = _DIGITS.sub("#", line) if len(line) <= SHORT else None
@@ -106,14 +115,20 @@ def truncated_texts(docs: DataFrame) -> DataFrame:
     text proper. Texts of any length are read whole. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text").filter("doc_id is not null and text is not null and trim(text) != ''")
+    # of c copies of a text each has 1/c of a vote
+    rows = rows.withColumn("h", F.xxhash64(F.rtrim("text")))
+    copies = materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "copies")
+    rows = rows.join(copies, "h", "left").select("doc_id", "source", "text", (1 / F.coalesce("c", F.lit(1))).alias("vote"))
     seen = materialize(rows.mapInArrow(_counter(), _SCHEMA), "endings")
     tails = seen.filter("kind = 'd'").dropDuplicates(["doc_id", "pos"]).withColumn("short", F.split("k2", "\n")[1]).withColumn("last", F.split("k2", "\n")[0])
     sizes = tails.filter("pos = 0").select("doc_id", "source", "chars", "bytes")
-    total = sizes.count()
-    recurring = seen.filter("kind = 'l'").groupBy(F.col("k1").alias("short")).agg(F.sum("n").alias("times")).filter(F.col("times") >= max(RECURS, RECURS_SHARE * total)).select("short", F.lit(True).alias("recurs"))
-    ends = seen.filter("kind = 'e'").groupBy("k1", "k2").agg(F.sum("n").alias("n"))
-    begun = ends.groupBy("k1").agg(F.sum("n").alias("of"))
-    usual = ends.join(begun, "k1").filter(f"k2 != '' and n >= {ENDS} and n >= {END_SHARE} * of").select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.lit(True).alias("usual"))
+    total = seen.filter("kind = 'd' and pos = 0").agg(F.round(F.coalesce(F.sum("n"), F.lit(0.0)), 3)).first()[0]
+    votes = F.round(F.sum("n"), 3).alias("n")
+    recurring = seen.filter("kind = 'l'").groupBy(F.col("k1").alias("short")).agg(votes.alias("times")).filter(F.col("times") >= max(RECURS, RECURS_SHARE * total)).select("short", F.lit(True).alias("recurs"))
+    ends = seen.filter("kind = 'e'").groupBy("k1", "k2").agg(votes)
+    begun = ends.groupBy("k1").agg(votes.alias("of"))
+    # the vote of the line that is judged does not count
+    usual = ends.join(begun, "k1").filter(f"k2 != '' and n - 1 >= {ENDS} and n - 1 >= {END_SHARE} * (of - 1)").select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.lit(True).alias("usual"))
     judged = tails.join(recurring, "short", "left").join(usual, (F.col("k1") == F.col("u1")) & (F.col("last") == F.col("u2")), "left")
     # a line of one token is whole only if it recurs: a cut leaves such lines, too, all of them alike
     judged = judged.withColumn("usual", F.col("usual") & ((F.col("short") != F.col("k1")) | F.col("recurs").isNotNull()))
@@ -121,7 +136,7 @@ def truncated_texts(docs: DataFrame) -> DataFrame:
     # the text proper ends in the last line that does not recur; a recurring line is whole, or it may be a cut itself
     proper = judged.filter("recurs is null or (usual is null and not mark)").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).filter("r = 1")
     # the trie: every prefix of a known word, kept where it is asked for
-    known = seen.filter("kind = 'w'").groupBy(F.col("k1").alias("w")).agg(F.sum("n").alias("n")).filter(F.col("n") >= KNOWN)
+    known = seen.filter("kind = 'w'").groupBy(F.col("k1").alias("w")).agg(votes).filter(F.col("n") >= KNOWN)
     asked = proper.filter("not mark and word is not null").select("word").distinct()
     trie = known.select("w", F.explode(F.transform(F.sequence(F.lit(1), F.length("w")), lambda k: F.col("w").substr(F.lit(1), k))).alias("word"))
     trie = trie.join(asked, "word", "left_semi").groupBy("word").agg(F.max(F.col("w") == F.col("word")).alias("is_word"))

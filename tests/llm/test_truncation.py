@@ -50,6 +50,19 @@ def test_cut_texts(spark):
     assert any(r.cut_word for r in rows.values()) and any(r.at_limit for r in rows.values())
 
 
+def test_copies_of_a_cut_text_do_not_vouch_for_it(spark):
+    docs, _ = corpus()
+    docs = [(i, s, t) for i, s, t in docs]
+    whole = "The neuron changed slowly during the night."
+    cuts = {0: f"{whole}\nZirconium probes stayed near the", 1: f"{whole} The second cell became unsta\n\n[sent from the tablet]"}
+    for k, copies in ((0, 4), (1, 150)):
+        docs += [(5_000 + 1_000 * k + i, "open", cuts[k]) for i in range(copies)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    rows = {r.doc_id: r for r in truncated_texts(df).collect()}
+    assert all(rows[5_000 + i].truncated for i in range(4))
+    assert all(rows[6_000 + i].truncated and rows[6_000 + i].cut_word for i in range(150))
+
+
 def test_long_text_and_empty_table(spark):
     text = "The neuron changed slowly during the night. " * 20_000
     df = spark.createDataFrame([(1, "a", text), (2, "a", text + "The neur")], "doc_id long, source string, text string")
