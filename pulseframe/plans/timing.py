@@ -136,10 +136,10 @@ def transition_matrix(s, d):
 
 
 def transition_pivot(s, d):
-    """The transition counts with one column per following label."""
-    kinds = ["n_" + c for c in "abcde"]
+    """The transition counts with one column per following label, by name: n_a to n_z, then n_27 and so on."""
     e = events(s, d).select("event_type", F.lead("event_type").over(W()).alias("nxt")).filter("nxt is not null")
-    known = [r[0] for r in table(s, d, "events").select("event_type").distinct().orderBy("event_type").limit(5).collect()]
+    known = [r[0] for r in table(s, d, "events").select("event_type").filter("event_type is not null").distinct().orderBy("event_type").collect()]
+    kinds = ["n_" + (chr(ord("a") + i) if i < 26 else str(i + 1)) for i in range(len(known))]
     p = e.groupBy("event_type").pivot("nxt", known).agg(F.count(F.lit(1)))
     return p.select("event_type", *[F.coalesce(F.col(f"`{k}`"), F.lit(0)).alias(n) for k, n in zip(known, kinds)])
 
