@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 
 from ..config import SpikeConfig
@@ -22,7 +24,9 @@ def _r2(a: np.ndarray, b: np.ndarray) -> float:
 def _line(y: np.ndarray, first: int) -> tuple[float, float]:
     """Slope and intercept over sample numbers that start at ``first``."""
     x = np.arange(first, first + len(y))
-    slope, intercept = np.polyfit(x, y, 1)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # a single sample leaves the line to the smallest coefficients
+        slope, intercept = np.polyfit(x, y, 1)
     return float(slope), float(intercept)
 
 
@@ -36,9 +40,10 @@ def control_points(w: np.ndarray, peak: int, fs: float, c: SpikeConfig) -> dict[
     onset = int(quiet[-1]) if len(quiet) else steep - 1
     a = max(0, int(steep + c.pre_peak_ms[0] * ms))
     z = min(max(a, int(steep + c.pre_peak_ms[1] * ms)), onset)
-    if z - a < 2 or steep - onset < 1:
+    if z <= a or steep <= onset:
         raise ValueError("no ramp before the upstroke")
-    base, rise_line = _line(w[a:z], a), _line(w[onset : steep + 1], onset)
+    # both lines lie in the smoothed derivative: before the upstroke, and from its onset up to, not including, the steepest sample
+    base, rise_line = _line(slope[a:z], a), _line(slope[onset:steep], onset)
     if rise_line[0] == base[0]:
         raise ValueError("ramp and upstroke are parallel")
     inflection = int((base[1] - rise_line[1]) / (rise_line[0] - base[0]))
@@ -51,7 +56,7 @@ def control_points(w: np.ndarray, peak: int, fs: float, c: SpikeConfig) -> dict[
         raise ValueError("half height is not crossed")
     start = peak + int(ms / c.exp_shift_divisor)
     end = start + int(ms * c.exp_duration_ms)
-    points = (max(0, inflection - int(c.pre_inflection_ms * ms)), inflection, int(below_left[-1]) + 1, peak, peak + int(below_right[0]), start, min(end, len(w) - 1))
+    points = (max(0, inflection - int(c.pre_inflection_ms * ms)), inflection, int(below_left[-1]) + 1, peak, peak + int(below_right[0]), start, end if end <= len(w) else len(w) - 1)
     return dict(zip(POINTS, points))
 
 

@@ -13,10 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .rangescan import number_rows, plan_bytes
+from .rangescan import PARTITION_BYTES, number_rows, plan_bytes
 
-#: Rows of a key from which it is split, and the size of a table from which keys are counted.
-HOT_ROWS, HOT_BYTES = 5_000_000, 512 << 20
+#: Rows of a key from which it is split; a table of no more bytes than one task reads holds no such key, others and tables of unknown size are counted.
+HOT_ROWS, HOT_BYTES = 5_000_000, PARTITION_BYTES
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int) -> list:
@@ -32,7 +32,7 @@ def row_windows(df: DataFrame, key: str, order: list[str], before: int, after: i
     """
     plain = lambda d, w: d.withColumns({n: f(w) for n, f in columns.items()})
     whole = Window.partitionBy(key).orderBy(*order)
-    if plan_bytes(df) < hot_bytes:
+    if (size := plan_bytes(df)) is not None and size < hot_bytes:
         return plain(df, whole)
     hot = hot_keys(df, key, hot_rows)
     if not hot:

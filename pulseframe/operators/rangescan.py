@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -25,18 +26,27 @@ from ..scratch import materialize
 PARTITION_BYTES = 64 << 20
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Bytes of the tables that a plan reads, as the optimizer knows them, without running it."""
+def plan_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables that a plan reads, as the optimizer knows them, without running it; None if it can't tell."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return sum(x for x in sizes if x < 1 << 60)  # local rows have no known size and pass for endless
+    total = 0
+    for i in range(leaves.size()):
+        size = int(str(leaves.apply(i).stats().sizeInBytes()))
+        if size >= 1 << 60:  # the optimizer's mark for unknown
+            return None
+        total += size
+    return total
 
 
 def range_partitions(spark: SparkSession, *frames: DataFrame, partition_bytes: int = PARTITION_BYTES) -> int:
-    """Number of range partitions: the session's shuffle setting, or more if the data asks for it."""
+    """Number of range partitions: the session's shuffle setting, or more if the data asks for it.
+
+    Where the optimizer doesn't know a table's size its rows are counted, at a hundred bytes each.
+    """
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    estimate = sum(plan_bytes(f) for f in frames) // partition_bytes
-    return int(max(configured, min(estimate, 50_000)))
+    sizes = [plan_bytes(f) for f in frames]
+    known = sum(f.count() * 100 if s is None else s for f, s in zip(frames, sizes))
+    return max(configured, known // partition_bytes)
 
 
 def range_sorted(df: DataFrame, keys: list[str], partitions: int) -> DataFrame:
@@ -86,37 +96,53 @@ def exclusive_scan(edges: DataFrame, key: list[str], value: str, fn: str, out: s
     return joined.select("pid", *key, merged.alias(out))
 
 
-def _number(batches):
-    prev, run = None, 0
-    for b in batches:
-        n = b.num_rows
-        if not n:
-            continue
-        key = b.column("key").to_numpy(zero_copy_only=False)
-        start = np.flatnonzero(np.concatenate(([prev is None or key[0] != prev], key[1:] != key[:-1])))
-        at = np.arange(n)
-        mark = np.full(n, -1)
-        mark[start] = start
-        mark = np.maximum.accumulate(mark)
-        rank = np.where(mark < 0, at + run, at - mark)
-        prev, run = key[-1], int(rank[-1]) + 1
-        yield pa.record_batch([*b.columns, pa.array(rank, pa.int64())], [*b.schema.names, "rank"])
-
-
-def number_rows(df: DataFrame, key: str, order: list[str], partitions: int | None = None) -> DataFrame:
+def _number(order: list[str], distinct: bool):
+    def run(batches):
+        prev, rank, held = None, 0, None
+        for b in batches:
+            if distinct and b.num_rows:
+                same = np.ones(b.num_rows, bool)
+                for c in ["key", *order]:
+                    x = b.column(c)
+                    y = pa.concat_arrays([pa.array([held[c] if held else None], x.type), x.slice(0, len(x) - 1)])
+                    e = pc.fill_null(pc.equal(x, y), False)
+                    same &= pc.or_(e, pc.and_(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)
+                same[0] &= held is not None
+                held = {c: b.column(c)[-1].as_py() for c in ["key", *order]}
+                b = b.filter(pa.array(~same))
+            n = b.num_rows
+            if not n:
+                continue
+            key = b.column("key").to_numpy(zero_copy_only=False)
+            start = np.flatnonzero(np.concatenate(([prev is None or key[0] != prev], key[1:] != key[:-1])))
+            at = np.arange(n)
+            mark = np.full(n, -1)
+            mark[start] = start
+            mark = np.maximum.accumulate(mark)
+            numbers = np.where(mark < 0, at + rank, at - mark)
+            prev, rank = key[-1], int(numbers[-1]) + 1
+            yield pa.record_batch([*b.columns, pa.array(numbers, pa.int64())], [*b.schema.names, "rank"])
+
+    return run
+
+
+def number_rows(df: DataFrame, key: str, order: list[str], partitions: int | None = None, distinct: bool = False) -> DataFrame:
     """0-based number of every row within its bigint ``key``, in the order of ``order``.
 
     The key may hold any share of the rows: rows are numbered inside range partitions and shifted by
-    what earlier partitions hold of their key. Columns of ``df`` are kept, ``rank`` is added.
+    what earlier partitions hold of their key. Columns of ``df`` are kept, ``rank`` is added. With ``distinct``
+    rows that agree in key and order count once.
     """
     n = partitions or range_partitions(df.sparkSession, df)
     cols = df.columns
     sorted_ = range_sorted(df.withColumn("key", F.col(key).cast("long")), ["key", *order], n)
     schema = StructType([*sorted_.schema.fields, StructField("rank", LongType())])
-    local = materialize(sorted_.mapInArrow(_number, schema), "numbered")
-    # only a partition's first and last key continue elsewhere, but adding up all of them is as right
+    local = materialize(sorted_.mapInArrow(_number(list(order), distinct), schema), "numbered")
+    # only a partition's first and last key continue elsewhere
     sums = local.groupBy("pid", "key").agg((F.max("rank") + 1).alias("c"))
-    off = exclusive_scan(sums, ["key"], "c", "sum", "off")
+    ends = local.groupBy("pid").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    edges = sums.join(ends, "pid").filter("key = lo or key = hi").select("pid", "key", "c")
+    off = exclusive_scan(edges, ["key"], "c", "sum", "off").filter("off is not null")
     return local.join(off, ["pid", "key"], "left").withColumn("rank", F.col("rank") + F.coalesce("off", F.lit(0))).select(*cols, "rank")
 
 

@@ -21,7 +21,7 @@ def average_ranks(df: DataFrame, value: str, group: list[str] | None = None, hot
     """
     g = group or []
     c = df.filter(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("n"))
-    if plan_bytes(df) < hot_bytes:
+    if (size := plan_bytes(df)) is not None and size < hot_bytes:
         w = Window.partitionBy(*g).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         c = c.withColumn("cum", F.sum("n").over(w))
     else:
