@@ -28,21 +28,32 @@ from .rangescan import number_rows
 BLOCK_ROWS, HALO = 50_000, 2_500
 #: Half an axis of the ellipsoid, in widths of the bulk.
 AXIS = 2.0
-#: Percentiles that leave out a share of the readings on either side and one reading at least, by number of readings from which they hold; fixed accuracy of approximate percentiles.
-TAILS, ACCURACY = ((25, 0.0401), (13, 0.0801), (8, 0.126)), 10_000
+#: Share of the readings left out of the bulk on either side, and one reading at least; further shares for which percentiles are kept, as flagged readings are left out, too; accuracy of approximate percentiles (exact for fewer readings).
+TAIL, SHARES, ACCURACY = 0.04, tuple(round(0.0401 + 0.01 * k, 4) for k in range(27)), 10_000
 #: Equal readings of a run at least, and how often such a run may be expected by chance in the whole source.
 RUN, CHANCE = 4, 0.05
 
 
-def bulk_of(u: np.ndarray) -> tuple[float, float, float] | None:
-    """Lower edge, middle and upper edge of the bulk; None for fewer than 8 readings."""
-    n = len(u)
-    tail = next((t for least, t in TAILS if n >= least), None)
-    if tail is None:
-        return None
-    s = np.sort(u)
-    at = lambda p: float(s[max(0, int(np.ceil(p * n)) - 1)])
-    return at(tail), at(0.5), at(1 - tail)
+class Bulk:
+    """Edges and middle of what a source normally shows, from its ``n`` and its percentiles at SHARES, one half and 1 - SHARES."""
+
+    def __init__(self, n: int, quantiles):
+        self.n, self.q = n, np.asarray(quantiles, float)
+
+    @classmethod
+    def of(cls, u: np.ndarray) -> Bulk:
+        s, p = np.sort(u), np.array([*SHARES, 0.5, *(1 - x for x in SHARES)])
+        return cls(len(u), s[np.clip(np.ceil(p * len(u)).astype(int) - 1, 0, len(u) - 1)] if len(u) else [])
+
+    def edges(self, below: float = 0.0, above: float = 0.0) -> tuple[float, float, float]:
+        """Lower edge, middle and upper edge without the shares of flagged readings on both sides."""
+        m = len(SHARES)
+
+        def at(flagged):
+            share = max(TAIL * (1 - below - above) + flagged, flagged + 1.0001 / self.n)
+            return min(int(np.searchsorted(SHARES, share)), m - 1)
+
+        return float(self.q[at(below)]), float(self.q[m]), float(self.q[m + 1 + at(above)])
 
 
 def _distance(w: np.ndarray, bulk: tuple[float, float, float], differences: bool) -> np.ndarray:
@@ -68,22 +79,23 @@ def _distance(w: np.ndarray, bulk: tuple[float, float, float], differences: bool
     return (along / axis(along)) ** 2 + (first / axis(first)) ** 2 + (across / axis(across)) ** 2
 
 
-def spikes(u: np.ndarray, bulk: tuple[float, float, float] | None = None, differences: bool = True) -> np.ndarray:
+def spikes(u: np.ndarray, bulk: Bulk | None = None, differences: bool = True) -> np.ndarray:
     """Phase-space thresholding of a finite series; a mask of the spikes. Ends when no reading is outside."""
     bad = np.zeros(len(u), bool)
-    bulk = bulk_of(u) if bulk is None else bulk
-    if bulk is None or not len(u):
+    bulk = Bulk.of(u) if bulk is None else bulk
+    if bulk.n < 8 or not len(u):
         return bad
-    w = u.astype(float)
+    w, middle = u.astype(float), bulk.q[len(SHARES)]
     while True:
-        far = np.where(bad, 0.0, _distance(w, bulk, differences))
+        low = float((bad & (u < middle)).mean())
+        far = np.where(bad, 0.0, _distance(w, bulk.edges(low, float(bad.mean()) - low), differences))
         outside = far > 1
         if not outside.any():
             return bad
         # a spike pushes its neighbours outside, too: they are looked at again without it
         new = outside & (far >= np.concatenate(([0], far[:-1]))) & (far >= np.concatenate((far[1:], [0])))
         bad |= new
-        w[new] = bulk[1]
+        w[new] = middle
 
 
 def is_chance(n, count, k):
@@ -162,19 +174,19 @@ def _impossible(x: np.ndarray, rule: str, duration: float) -> np.ndarray:
     return out
 
 
-def _judge(t: pa.Table, i: int, rule: str, differences: bool):
+def _judge(head: dict, t: pa.Table, i: int, rule: str, differences: bool):
     """Faults of one field in one block: ids by kind, and the runs of equal readings as rows of _FOUND."""
-    v = t[f"v{i}"].to_numpy()
-    own = t["own"].to_numpy()
+    v = np.asarray(t[f"v{i}"].to_numpy(), float)
+    own = t["own"].to_numpy(zero_copy_only=False)
     known = np.flatnonzero(~np.isnan(v))
     code = np.zeros(len(known), np.int8)
-    code[_impossible(v[known], rule, float(t["duration"][0].as_py()))] = 2
+    code[_impossible(v[known], rule, head["duration"])] = 2
     fine = np.flatnonzero(code == 0)
     at = known[fine]
     x = v[at]
-    n = t[f"n{i}"][0].as_py()
+    n = head[f"n{i}"]
     rows = []
-    src, blk, rank, ids = t["src"][0].as_py(), t["blk"][0].as_py(), t["rank"].to_numpy(), t["id"].to_numpy()
+    src, blk, rank, ids = head["src"], head["blk"], t["rank"].to_numpy(), t["id"].to_numpy()
     for s, k in zip(*_runs(x)):
         mine = at[s : s + k][own[at[s : s + k]]]
         if len(mine):
@@ -183,8 +195,8 @@ def _judge(t: pa.Table, i: int, rule: str, differences: bool):
             rows.append((i, src, blk, ids[mine].tolist(), float(x[s]), n, int(((x == x[s]) & own[at]).sum()), len(mine), int(rank[at[s]]), int(rank[at[s + k - 1]]), crossing))
     if rule == "time":
         code[fine[out_of_order(x)]] = 3
-    elif n is not None and n >= 8:
-        code[fine[spikes(x, tuple(t[f"{e}{i}"][0].as_py() for e in ("lo", "mid", "hi")), differences)]] = 1
+    elif n >= 8:
+        code[fine[spikes(x, Bulk(n, head[f"q{i}"]), differences)]] = 1
     hit = known[(code > 0) & own[known]]
     kinds = code[(code > 0) & own[known]]
     return [(ids[hit[kinds == c]], c) for c in (1, 2, 3) if (kinds == c).any()], rows
@@ -212,9 +224,12 @@ def _scanner(fields: dict[str, str], differences: bool):
 
     def scan(batches):
         for t in groups(batches):
+            if t["n0"][0].as_py() is None:
+                continue  # nothing but the readings beyond a source's last block
+            head, t = t.slice(0, 1).to_pylist()[0], t.slice(1)
             out = {f.name: [] for f in _FOUND}
             for i, rule in enumerate(fields.values()):
-                simple, runs = _judge(t, i, rule, differences)
+                simple, runs = _judge(head, t, i, rule, differences)
                 for ids, c in simple:
                     for name in out:
                         out[name].append({"fault": str(_KINDS[c]), "field": i, "ids": ids.tolist()}.get(name))
@@ -227,22 +242,17 @@ def _scanner(fields: dict[str, str], differences: bool):
     return scan
 
 
-def _bulks(ranked: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """Per source: number of usable readings and edges and middle of the bulk of every field, over all its rows."""
-    aggs, picked = [], []
-    fractions = [t for _, t in TAILS] + [0.5] + [1 - t for _, t in TAILS]
-    m = len(TAILS)
+def _bulks(timed: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Per source: its last row number, duration, and number of usable readings and percentiles of every field, over all its rows."""
+    aggs = []
+    fractions = [*SHARES, 0.5, *(1 - x for x in SHARES)]
     for i, rule in enumerate(fields.values()):
         c = F.col(f"v{i}")
         usable = ~F.isnan(c) & (F.abs(c) < float("inf"))
-        usable = usable & (c > 0) if rule == "positive" else usable & (c >= 0) & (F.col("duration").isNull() | (c < F.col("duration"))) if rule == "time" else usable
+        usable = usable & (c > 0) if rule == "positive" else usable & (c >= 0) & (F.isnan("duration") | (c < F.col("duration"))) if rule == "time" else usable
         aggs.append(F.count(F.when(usable, 1)).alias(f"n{i}"))
-        if rule != "time":
-            aggs.append(F.percentile_approx(F.when(usable, c), F.array(*map(F.lit, fractions)), ACCURACY).alias(f"q{i}"))
-            pick = lambda up: F.coalesce(*[F.when(F.col(f"n{i}") >= least, F.col(f"q{i}")[m + 1 + k if up else k]) for k, (least, _) in enumerate(TAILS)])  # noqa: B023, E731
-            picked += [pick(False).alias(f"lo{i}"), F.col(f"q{i}")[m].alias(f"mid{i}"), pick(True).alias(f"hi{i}")]
-    per = ranked.groupBy("src").agg(F.max("rank").alias("most"), F.max("duration").alias("duration"), *aggs)
-    return per.select("src", "most", "duration", *[f"n{i}" for i in range(len(fields))], *picked)
+        aggs.append((F.lit(None).cast("array<double>") if rule == "time" else F.percentile_approx(F.when(usable, c), F.array(*map(F.lit, fractions)), ACCURACY)).alias(f"q{i}"))
+    return timed.groupBy("src").agg(F.max("rank").alias("most"), F.max("duration").alias("duration"), *aggs)
 
 
 def _stuck_runs(found: DataFrame, ranked: DataFrame, several: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -279,14 +289,16 @@ def measurement_faults(df: DataFrame, fields: dict[str, str], durations: DataFra
     ranked = number_rows(rows.withColumn("h", F.xxhash64("src")), "h", ["src", "id"], distinct=True).drop("h")
     if durations is not None:
         d = durations.select(F.col("source").cast("string").alias("src"), F.col("duration").cast("double").alias("duration")).groupBy("src").agg(F.max("duration").alias("duration"))
-        timed = ranked.join(d, "src", "left")
+        timed = ranked.join(d, "src", "left").withColumn("duration", F.coalesce("duration", F.lit(float("nan"))))
     else:
-        timed = ranked.withColumn("duration", F.lit(None).cast("double"))
+        timed = ranked.withColumn("duration", F.lit(float("nan")))
     about = materialize(_bulks(timed, fields), "bulks")
-    j = ranked.join(about.drop("most").withColumn("duration", F.coalesce("duration", F.lit(float("nan")))), "src")
     block = lambda shift: F.floor((F.col("rank") + shift) / block_rows).cast("long")
-    cut = j.withColumn("home", block(0)).withColumn("blk", F.explode(F.array_distinct(F.array(block(0), block(-halo), block(halo))))).filter("blk >= 0").withColumn("own", F.col("blk") == F.col("home")).drop("home")
-    sorted_ = cut.repartition("src", "blk").sortWithinPartitions("src", "blk", "id")
+    cut = ranked.withColumn("home", block(0)).withColumn("blk", F.explode(F.array_distinct(F.array(block(0), block(-halo), block(halo))))).filter("blk >= 0").withColumn("own", F.col("blk") == F.col("home")).drop("home")
+    # every block begins with a row of its source's figures
+    heads = about.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("most") / block_rows).cast("long")))).withColumns({"rank": F.lit(-1).cast("long"), "own": F.lit(False)}).drop("most")
+    figures = [c for c in heads.columns if c not in ("src", "blk", "rank", "own")]
+    sorted_ = cut.unionByName(heads, allowMissingColumns=True).select("src", "blk", "rank", "id", "own", *[f"v{i}" for i in range(len(fields))], *figures).repartition("src", "blk").sortWithinPartitions("src", "blk", "rank")
     schema = "fault string, field int, src string, blk long, ids array<long>, v double, n long, same long, k long, first long, last long, crossing boolean"
     found = materialize(sorted_.mapInArrow(_scanner(dict(fields), differences), schema), "faults")
     simple = found.filter("fault != 'run'").select(F.explode("ids").alias("id"), "field", "fault")
