@@ -1,10 +1,11 @@
 """Held-out passages that leaked into a corpus.
 
-Word windows of the items and of every text get SimHash fingerprints. With the fingerprint cut into
-one block more than the Hamming radius, two fingerprints within the radius agree in at least one
-block, so looking up every block finds all window pairs within the radius. Neighbouring window pairs
-on one diagonal make a candidate; the exact alignment of the words around it decides, in which words
-of stock sentences (sentences that recur throughout the corpus) weigh nothing.
+Word windows of the items and of every text get SimHash fingerprints in which rare words of the items weigh
+more than common ones, so a changed common word moves few bits. A window is as long as the smallest piece of a
+passage. With the fingerprint cut into one block more than the Hamming radius, two fingerprints within the
+radius agree in at least one block, so looking up every block finds all window pairs within the radius.
+Every such pair makes its text and item a candidate; the exact weighted similarity of their five-word shingles
+decides, in which words of stock sentences (sentences that recur throughout the corpus) weigh nothing.
 
 The items are the stated query set, held in memory in portions of bounded size; texts are only
 scanned, never shuffled or compared with each other but for the hashes that tell copies.
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialize
 
-#: Words of a window, Hamming radius, and blocks of a 64-bit fingerprint (one more than the radius).
-WINDOW, RADIUS, BLOCKS = 8, 3, 4
-#: Running words of an item that count as a leak; words that window pairs on one diagonal must cover before the exact alignment.
-LEAK, SEED = 24, 12
-#: Words of a shingle, words skipped on either side between shared shingles of a piece, the smallest piece of a passage in two, and the share of a piece's words that shared shingles must cover.
+#: Words of a window (the smallest piece of a passage), Hamming radius, and blocks of a 64-bit fingerprint (one more than the radius).
+WINDOW, RADIUS, BLOCKS = 12, 3, 4
+#: Weights of words run from 1 to this, by the number of items that hold them; WINDOW times it must fit in a signed byte.
+LEVELS = 5
+#: Running words of an item that count as a leak.
+LEAK = 24
+#: Words of a shingle, words skipped on either side between shared shingles of a piece, the smallest piece of a passage in two, and the share of a piece's weight that shared shingles must cover.
 SHINGLE, SLIP, PIECE, AGREE = 5, 6, 12, 0.8
 #: A sentence is stock if it stands in this share of all texts and in this many at least.
 STOCK_SHARE, STOCK_TEXTS = 0.004, 5
@@ -37,7 +40,7 @@ AROUND = 300
 #: (sentence, surroundings) pairs that a task gathers before it passes them on.
 _FLUSH = 100_000
 #: Items that are held in memory at once, words that are fingerprinted at once, words remembered by a task.
-PORTION, CHUNK, KNOWN = 2_000, 100_000, 400_000
+PORTION, CHUNK, KNOWN = 10_000, 100_000, 400_000
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -50,11 +53,22 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def word_weights(items: list[list[str]]) -> dict[str, int]:
+    """Weight of every word of the items: LEVELS if one item holds it, falling with the logarithm of their number."""
+    held: dict[str, int] = {}
+    for ws in items:
+        for w in set(ws):
+            held[w] = held.get(w, 0) + 1
+    most = np.log(1 + max(1, len(items)))
+    return {w: max(1, round(LEVELS * float(np.log(1 + len(items) / k) / most))) for w, k in held.items()}
+
+
 class _Numbers(dict):
-    """Word to number; a new word gets the next one and its 64 signs."""
+    """Word to number; a new word gets the next one and its 64 signs times its weight."""
 
-    def __init__(self, known=()):
+    def __init__(self, weights: dict[str, int], known=()):
         super().__init__(known)
+        self.weights = weights
         self.signs = np.empty((1 << 12, 64), np.int8)
 
     def __missing__(self, word):
@@ -62,15 +76,16 @@ class _Numbers(dict):
         if k >= len(self.signs):
             self.signs = np.concatenate((self.signs, np.empty_like(self.signs)))
         bits = np.unpackbits(np.frombuffer(xxhash.xxh3_64_digest(word.encode()), np.uint8))
-        self.signs[k] = bits.astype(np.int8) * 2 - 1
+        self.signs[k] = (bits.astype(np.int8) * 2 - 1) * self.weights.get(word, LEVELS)
         return k
 
 
 class _Vocabulary:
-    """Numbers words and keeps 64 signs per word."""
+    """Numbers words and keeps their weighted signs."""
 
-    def __init__(self):
-        self.ids = _Numbers()
+    def __init__(self, weights: dict[str, int]):
+        self.weights = weights
+        self.ids = _Numbers(weights)
         self.known = 0
 
     def number(self, ws: list[str]) -> np.ndarray:
@@ -83,26 +98,35 @@ class _Vocabulary:
     def forget(self) -> None:
         """All other words are met anew."""
         signs = self.ids.signs
-        self.ids = _Numbers(list(self.ids.items())[: self.known])
+        self.ids = _Numbers(self.weights, list(self.ids.items())[: self.known])
         self.ids.signs = signs[: max(self.known, 1 << 12)].copy()
 
     def fingerprints(self, ids: np.ndarray) -> np.ndarray:
         """SimHash of every window of WINDOW words."""
-        n = len(ids) - WINDOW + 1
-        if n <= 0:
+        if len(ids) < WINDOW:
             return np.empty(0, np.uint64)
-        s = self.ids.signs[ids]
-        total = s[:n].copy()
-        for k in range(1, WINDOW):
-            total += s[k : k + n]
-        return np.packbits(total > 0, axis=1).view(np.uint64).ravel()
+        # sums over 1, 2, 4, ... words; those that make up WINDOW are put side by side
+        part, size, total, done = self.ids.signs[ids], 1, None, 0
+        while done < WINDOW:
+            if WINDOW & size:
+                total = part if total is None else total[: len(part) - done] + part[done : done + len(total)]
+                done += size
+            if done < WINDOW:
+                part = part[:-size] + part[size:]
+                size *= 2
+        return np.packbits(total[: len(ids) - WINDOW + 1] > 0, axis=1).view(np.uint64).ravel()
+
+
+def item_words(text: str) -> list[str]:
+    """Words of an item, sentence by sentence."""
+    return [w for part in _SENTENCE.split(text) for w in words(part)]
 
 
 class _Items:
     """Index of the items' windows: by every block of their fingerprints."""
 
     def __init__(self, items: list[tuple[int, str]], vocabulary: _Vocabulary):
-        self.item, self.ids = [i for i, _ in items], []
+        self.item, self.ids, self.weights, self.shingles = [i for i, _ in items], [], [], []
         of, at, prints = [], [], []
         self.sentences: list[tuple[int, int, int, str]] = []
         for k, (_, text) in enumerate(items):
@@ -113,6 +137,8 @@ class _Items:
                 ws += own
             ids = vocabulary.number(ws)
             self.ids.append(ids)
+            self.weights.append([vocabulary.weights[w] for w in ws])
+            self.shingles.append(_sorted_shingles(ids))
             f = vocabulary.fingerprints(ids)
             of.append(np.full(len(f), k))
             at.append(np.arange(len(f)))
@@ -130,7 +156,7 @@ class _Items:
         if self.sentences:
             self.automaton.make_automaton()
 
-    def hits(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window of the text, window of an item) within the Hamming radius."""
         got = []
         for b, (order, first) in enumerate(self.blocks):
@@ -141,7 +167,7 @@ class _Items:
             if not len(left):
                 continue
             right = order[np.repeat(lo[w], k[w]) + np.arange(len(left)) - np.repeat(np.cumsum(k[w]) - k[w], k[w])]
-            near = np.bitwise_count(prints[left] ^ self.prints[right]) <= RADIUS
+            near = np.bitwise_count(prints[left] ^ self.prints[right]) <= radius
             got.append(left[near] * len(self.prints) + right[near])
         pairs = np.unique(np.concatenate(got)) if got else np.empty(0, np.int64)
         return pairs // max(1, len(self.prints)), pairs % max(1, len(self.prints))
@@ -151,25 +177,6 @@ def _block(prints: np.ndarray, b: int) -> np.ndarray:
     return ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
 
 
-def _seeds(doc: np.ndarray, item: np.ndarray, b: np.ndarray, a: np.ndarray) -> list[tuple[int, int]]:
-    """(document, item) pairs with enough window pairs along one diagonal."""
-    order = np.lexsort((b, (b - a) // 16, item, doc))
-    doc, item, b, a = doc[order], item[order], b[order], a[order]
-    out = {}
-    for shift in (0, 8):
-        diagonal = (b - a + shift) // 16
-        o = np.lexsort((b, diagonal, item, doc))
-        d, i, g, at = doc[o], item[o], diagonal[o], b[o]
-        new = np.concatenate(([True], (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (g[1:] != g[:-1]) | (at[1:] - at[:-1] > 40)))
-        step = np.minimum(np.concatenate(([WINDOW], at[1:] - at[:-1])), WINDOW)
-        step[new] = WINDOW
-        start = np.flatnonzero(new)
-        cover = np.add.reduceat(step, start) if len(start) else np.empty(0)
-        for k in start[cover >= SEED]:
-            out[int(d[k]), int(i[k])] = True
-    return list(out)
-
-
 def _shingles(ids: np.ndarray) -> np.ndarray:
     n = max(0, len(ids) - SHINGLE + 1)
     h = np.zeros(n, np.uint64)
@@ -178,11 +185,17 @@ def _shingles(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def _runs(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int]]:
-    """Maximal runs (place in the item, place in the text, words) of shared shingles, in the text's order."""
-    mine, other = _shingles(item), _shingles(text)
+def _sorted_shingles(item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mine = _shingles(item)
     order = np.argsort(mine, kind="stable")
-    lo, hi = np.searchsorted(mine[order], other, "left"), np.searchsorted(mine[order], other, "right")
+    return mine[order], order
+
+
+def _runs(item: np.ndarray, text: np.ndarray, mine: tuple | None = None, other: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Maximal runs (place in the item, place in the text, words) of shared shingles, in the text's order."""
+    mine, order = mine or _sorted_shingles(item)
+    other = _shingles(text) if other is None else other
+    lo, hi = np.searchsorted(mine, other, "left"), np.searchsorted(mine, other, "right")
     k = hi - lo
     at = np.flatnonzero(k)
     b = np.repeat(at, k[at])
@@ -199,13 +212,15 @@ def _runs(item: np.ndarray, text: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(zip(a[start].tolist(), b[start].tolist(), size.tolist()), key=lambda r: r[1]) if len(a) else []
 
 
-def pieces(item: np.ndarray, text: np.ndarray) -> list[list[tuple[int, int]]]:
+def pieces(item: np.ndarray, text: np.ndarray, mine: tuple | None = None, other: np.ndarray | None = None) -> list[list[tuple[int, int]]]:
     """Passages of the item in the text: chains of runs with at most SLIP words between them.
 
     Each piece is its runs as (first, behind last) places in the item, in order.
     """
     found: list[list[tuple[int, int]]] = []
-    runs = _runs(item, text)
+    runs = _runs(item, text, mine, other)
+    if sum(n for *_, n in runs) < PIECE:
+        return found
     best: list[tuple[int, int | None]] = []
     for j, (a, b, n) in enumerate(runs):
         score, came = n, None
@@ -229,16 +244,20 @@ def pieces(item: np.ndarray, text: np.ndarray) -> list[list[tuple[int, int]]]:
     return found
 
 
-def leaked_words(found: list[list[tuple[int, int]]], stock: set[int]) -> int:
-    """Running words of the item in the best passage, in one piece or two that follow each other in the item."""
+def leaked_words(found: list[list[tuple[int, int]]], stock: set[int], weights: list[int] | None = None) -> int:
+    """Running words of the item in the best passage, in one piece or two that follow each other in the item.
+
+    A piece counts if the words that shared shingles cover carry AGREE of its weight; stock words weigh nothing.
+    """
     spans = []
     for chain in found:
         hit = {p for a, z in chain for p in range(a, z)}
         lo, hi = chain[0][0], max(z for _, z in chain)
         free = [p for p in range(lo, hi) if p not in stock]
-        agree = len([p for p in free if p in hit])
-        if agree >= PIECE and agree >= AGREE * len(free):
-            spans.append((lo, hi, agree, len(free)))
+        weight = (lambda ps: sum(weights[p] for p in ps)) if weights else len
+        shared = [p for p in free if p in hit]
+        if len(shared) >= PIECE and weight(shared) >= AGREE * weight(free):
+            spans.append((lo, hi, len(shared), len(free)))
     best = max((n for *_, n in spans), default=0)
     for x in spans:
         for y in spans:
@@ -247,12 +266,17 @@ def leaked_words(found: list[list[tuple[int, int]]], stock: set[int]) -> int:
     return best
 
 
+def _could_leak(found: list[list[tuple[int, int]]]) -> bool:
+    """Whether any choice of stock words leaves a leak: the spans of pieces hold its words."""
+    return sum(max(z for _, z in c) - c[0][0] for c in found) >= LEAK
+
+
 _OUT = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("n", pa.int64()), ("sentence", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("piece", pa.list_(pa.int32()))])
 
 
-def _scanner(items: list[tuple[int, str]], portion: int):
+def _scanner(items: list[tuple[int, str]], portion: int, weights: dict[str, int], radius: int):
     def scan(batches):
-        vocabulary = _Vocabulary()
+        vocabulary = _Vocabulary(weights)
         index = _Items(items, vocabulary)
         vocabulary.keep()
         stands: set[tuple[str, int]] = set()
@@ -270,7 +294,7 @@ def _scanner(items: list[tuple[int, str]], portion: int):
 
             def flush():
                 nonlocal held, ids, size
-                rows.extend(_compare(index, vocabulary, held, ids))
+                rows.extend(_compare(index, vocabulary, held, ids, radius))
                 held, ids, size = [], [], 0
 
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -310,7 +334,7 @@ def _surroundings(automaton, text: str):
         yield s, xxhash.xxh3_64_intdigest(around.encode()) - (1 << 63)
 
 
-def _compare(index: _Items, vocabulary: _Vocabulary, held: list[np.ndarray], ids: list[int]) -> list[dict]:
+def _compare(index: _Items, vocabulary: _Vocabulary, held: list[np.ndarray], ids: list[int], radius: int) -> list[dict]:
     if not held:
         return []
     flat = np.concatenate(held)
@@ -319,7 +343,7 @@ def _compare(index: _Items, vocabulary: _Vocabulary, held: list[np.ndarray], ids
     lefts, rights = [], []
     for lo in range(0, len(flat), CHUNK):  # a very long text is fingerprinted in portions, too
         part = flat[lo : lo + CHUNK + WINDOW - 1]
-        left, right = index.hits(vocabulary.fingerprints(part))
+        left, right = index.hits(vocabulary.fingerprints(part), radius)
         lefts.append(left + lo)
         rights.append(right)
     left, right = np.concatenate(lefts), np.concatenate(rights)
@@ -328,15 +352,19 @@ def _compare(index: _Items, vocabulary: _Vocabulary, held: list[np.ndarray], ids
     out = []
     if not len(left):
         return out
-    for d, i in _seeds(of[left], index.of[right], left - start[of[left]], index.at[right]):
-        found = pieces(index.ids[i], held[d])
-        if leaked_words(found, set()) >= LEAK:
+    pairs = np.unique(of[left] * len(index.item) + index.of[right])
+    shingles, of_text = None, -1
+    for d, i in zip((pairs // len(index.item)).tolist(), (pairs % len(index.item)).tolist()):
+        if d != of_text:
+            shingles, of_text = _shingles(held[d]), d
+        found = pieces(index.ids[i], held[d], index.shingles[i], shingles)
+        if _could_leak(found):
             flat_runs = [(a, z, p) for p, chain in enumerate(found) for a, z in chain]
             out.append({"kind": 0, "doc_id": ids[d], "item_id": index.item[i], "starts": [a for a, _, _ in flat_runs], "ends": [z for _, z, _ in flat_runs], "piece": [p for *_, p in flat_runs]})
     return out
 
 
-def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Texts that hold passages of held-out items.
 
     ``docs``: (doc_id bigint, text), ``items``: (item_id bigint, text); other columns are ignored. Result:
@@ -344,14 +372,17 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     in the text, in one piece or in two that follow each other in the item, where shared five-word shingles cover at
     least 80 % of each piece (so single words may be changed, left out or added). Case, blanks and punctuation don't matter; words of stock
     sentences don't count. Null, empty and short texts or items give no rows; repeated doc_ids give one row;
-    texts of any length are scanned whole. An empty table gives no rows.
+    texts of any length are scanned whole. An empty table gives no rows. A ``radius`` below RADIUS looks up
+    equal blocks all the same and keeps fewer window pairs, to measure what the radius adds.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null and text is not null and text != ''")
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
     # the stated query set, in portions of bounded size against all texts
     asked = [(r["item_id"], r["text"]) for r in asked.orderBy("item_id").toLocalIterator()]
-    scans = [texts.mapInArrow(_scanner(asked[k : k + PORTION], k), "kind int, doc_id long, item_id long, n long, sentence string, starts array<int>, ends array<int>, piece array<int>") for k in range(0, len(asked), PORTION)]
+    own_words = {i: item_words(t) for i, t in asked}
+    weights = word_weights(list(own_words.values()))
+    scans = [texts.mapInArrow(_scanner(asked[k : k + PORTION], k, weights, radius), "kind int, doc_id long, item_id long, n long, sentence string, starts array<int>, ends array<int>, piece array<int>") for k in range(0, len(asked), PORTION)]
     if not scans:
         return spark.createDataFrame([], "item_id long, doc_id long, n_words long")
     whole = scans[0]
@@ -371,6 +402,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             if s in stock_sentences:
                 stock.setdefault(part[i][0], set()).update(range(a, z))
 
+    item_weights = {i: [weights[w] for w in ws] for i, ws in own_words.items()}
+
     def decide(batches):
         for b in batches:
             rows = []
@@ -378,7 +411,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 chains: dict[int, list] = {}
                 for a, z, p in zip(r["starts"], r["ends"], r["piece"]):
                     chains.setdefault(p, []).append((a, z))
-                n = leaked_words(list(chains.values()), stock.get(r["item_id"], set()))
+                n = leaked_words(list(chains.values()), stock.get(r["item_id"], set()), item_weights[r["item_id"]])
                 if n >= LEAK:
                     rows.append({"item_id": r["item_id"], "doc_id": r["doc_id"], "n_words": n})
             if rows:

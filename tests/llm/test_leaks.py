@@ -82,7 +82,8 @@ def test_very_long_text_and_empty_tables(spark):
 
 def test_block_lookup_is_complete_within_the_radius():
     rng = np.random.default_rng(4)
-    v = leaks._Vocabulary()
+    v = leaks._Vocabulary({})
+    v.weights.update(dict.fromkeys(WORDS, 3))
     index = leaks._Items([(1, " ".join(text(random.Random(5), 100)))], v)
     base = index.prints[rng.integers(0, len(index.prints), 500)]
     for r in range(leaks.RADIUS + 1):
@@ -90,18 +91,68 @@ def test_block_lookup_is_complete_within_the_radius():
         for i in range(500):
             for b in rng.choice(64, r, replace=False):
                 flips[i] |= np.uint64(1) << np.uint64(b)
-        left, right = index.hits(base ^ flips)
+        left, right = index.hits(base ^ flips, leaks.RADIUS)
         got = set(zip(left.tolist(), right.tolist()))
         want = {(i, j) for i in range(500) for j in range(len(index.prints)) if int(np.bitwise_count(base[i] ^ flips[i] ^ index.prints[j])) <= leaks.RADIUS}
         assert got == want
 
 
+def common_changes(seed, n_docs=40):
+    """Items whose leaked copies have a common word changed in every window: no window is a plain copy."""
+    rng = random.Random(seed)
+    common = [f"c{k}" for k in range(8)]
+    rare = lambda k: f"r{seed}x{k}"
+    items, docs = [], []
+    for i in range(n_docs):
+        ws = [rare(1000 * i + k) if k % 3 else common[(k + i) % 8] for k in range(90)]
+        items.append((i, " ".join(ws)))
+        changed = [rng.choice(common) if k % 9 == 3 else w for k, w in enumerate(ws)]
+        changed = [w if k % 9 != 3 or w != ws[k] else common[(k + i + 1) % 8] for k, w in enumerate(changed)]
+        docs.append((i, " ".join(text(rng, 30) + changed[21:49] + text(rng, 30))))
+    return items, docs
+
+
+def test_the_radius_finds_passages_with_changed_words(spark):
+    items, docs = common_changes(3)
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda r: {(x.item_id, x.doc_id) for x in find_leaks(d, i, radius=r).collect()}
+    want = {(k, k) for k in range(len(docs))}
+    assert len(found(leaks.RADIUS) & want) >= 0.9 * len(want) and found(leaks.RADIUS) <= want
+    # no window is a copy; some altered ones still have the same fingerprint
+    assert len(found(0) & want) <= 0.75 * len(found(leaks.RADIUS) & want)
+
+
+def test_candidates_against_brute_force():
+    """Windows within the radius propose nearly every pair that the exact comparison accepts."""
+    items, docs, want = corpus(7)
+    weights = leaks.word_weights([w for _, w in items])
+    v = leaks._Vocabulary(weights)
+    index = leaks._Items([(i, " ".join(w)) for i, w in items], v)
+    proposed = accepted = 0
+    for _, t in docs:
+        ids = v.number(words(t))
+        near = set(index.of[index.hits(v.fingerprints(ids), leaks.RADIUS)[1]].tolist())
+        for i in range(len(items)):
+            if leaks.leaked_words(leaks.pieces(index.ids[i], ids), set(), index.weights[i]) >= leaks.LEAK:
+                accepted += 1
+                proposed += i in near
+    assert accepted >= len(want) and proposed >= 0.9 * accepted
+
+
+def test_words_in_weighted_pieces():
+    chain = [[(0, 12), (14, 24)]]
+    assert leaks.leaked_words(chain, set()) == 24
+    heavy = [1] * 12 + [5, 5] + [1] * 10
+    assert leaks.leaked_words(chain, set(), heavy) == 0  # the words left out carry a third of the weight
+    assert leaks.leaked_words(chain, {12, 13}, heavy) == 22
+
+
 def test_words():
     assert words("A *bold*  Naïve\n12.5, re-run_x") == ["a", "bold", "naïve", "12", "5", "re", "run", "x"]
 
 
 def test_forgetting_words_keeps_those_of_the_items():
-    v = leaks._Vocabulary()
+    v = leaks._Vocabulary({})
     a = v.number(["x", "y", "x"])
     v.keep()
     v.number(["z", "q"])
