@@ -1,12 +1,13 @@
 """Texts that were cut by a field limit or lost in transfer.
 
-One pass over the corpus counts its words, the ways its lines end and its short recurring lines
-(service lines and closers that may follow a cut). The vocabulary's trie is a table of prefixes,
-joined with the final tokens; no dictionary is held by a task or the driver. A text is cut if its text
-proper ends in an unknown proper prefix of known words, in an ellipsis, or in a line that stays open:
-without an end mark and not the way lines of its kind end. Length evidence (texts piling up at their
-source's greatest length, in characters or bytes) settles lines that could be complete. Copies of a text vote once, and what
-may be a text's own cut is left out of the votes that judge it.
+One pass over the corpus counts its words, the ways its lines end and its recurring lines (service lines and
+closers that may follow a cut). The vocabulary's trie is a table of prefixes, joined with the final tokens; no
+dictionary is held by a task or the driver. The trie decides first: a text proper whose final token is an unknown
+proper prefix of known words is cut. Only if the final token is a known word, or no word at all, can the line
+be cut between words: it is if it stays open, without an end mark and not the way lines of its kind end. Of a
+token the trie does not know, length evidence decides (texts piling up at their source's greatest length, in
+characters or bytes), as it does for lines that could be complete. An ellipsis at the end is a cut. Copies of
+a text vote once, and what may be a text's own cut is left out of the votes that judge it.
 """
 
 from __future__ import annotations
@@ -14,28 +15,29 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
 
-#: A line recurs if it stands in this share of the texts and this many at least; so many lines at the end are looked at.
-RECURS_SHARE, RECURS, TAIL_LINES = 0.0005, 5, 6
+#: A line recurs if it stands in this share of the texts and this many at least.
+RECURS_SHARE, RECURS = 0.0005, 5
+#: Lines at the end that are looked at in the first pass; texts whose lines all recur are looked at whole in a second one.
+TAIL_LINES = 6
 #: Lines that begin alike may end in a token that ends this share of them, and this many at least.
 END_SHARE, ENDS = 0.05, 3
 #: Texts in which a word must stand inside to be known; texts at the greatest length, and their share, that make a limit.
 KNOWN, AT_LIMIT, LIMIT_SHARE = 2, 5, 0.01
-#: Longest line that can recur, in characters.
-SHORT = 60
 
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W\d_]+")
 _END_MARK = re.compile(r"[.!?:;。！？][\"'”’»)\]*_`]*$|[\"”»)\]]$")
 _ELLIPSIS = re.compile(r"(…|\.\.\.)[\"'”’»)\]*_]*$")
 
-_SCHEMA = "kind string, k1 string, k2 string, n double, doc_id long, source string, chars long, bytes long, pos int, mark boolean, dots boolean, word string"
+_SCHEMA = "kind string, k1 string, k2 string, n double, doc_id long, source string, chars long, bytes long, pos int, mark boolean, dots boolean, word string, single boolean"
 _ARROW = pa.schema(
-    [("kind", pa.string()), ("k1", pa.string()), ("k2", pa.string()), ("n", pa.float64()), ("doc_id", pa.int64()), ("source", pa.string()), ("chars", pa.int64()), ("bytes", pa.int64()), ("pos", pa.int32()), ("mark", pa.bool_()), ("dots", pa.bool_()), ("word", pa.string())]
+    [("kind", pa.string()), ("k1", pa.string()), ("k2", pa.string()), ("n", pa.float64()), ("doc_id", pa.int64()), ("source", pa.string()), ("chars", pa.int64()), ("bytes", pa.int64()), ("pos", pa.int32()), ("mark", pa.bool_()), ("dots", pa.bool_()), ("word", pa.string()), ("single", pa.bool_())]
 )
 #: Counts of a task are passed on when so many keys have gathered.
 _FLUSH = 200_000
@@ -72,15 +74,12 @@ def _counter():
                 parts = [p for line in text.split("\n") if (p := line.strip())]
                 for w in _inner_words(parts):
                     words[w] = words.get(w, 0) + vote
-                for i, line in enumerate(parts):
-                    first, last, short, mark = _shape(line)
+                for line in parts:
+                    first, last, key, mark = _shape(line)
                     ends[first, "" if mark else last] = ends.get((first, "" if mark else last), 0) + vote
-                    if short:
-                        lines[short] = lines.get(short, 0) + vote
+                    lines[key] = lines.get(key, 0) + vote
                 for pos, line in enumerate(reversed(parts[-TAIL_LINES:])):
-                    first, last, short, mark = _shape(line)
-                    final = re.search(r"([^\W\d_]+)[*_`]*$", line)
-                    add(kind="d", n=vote, k1=first, k2=f"{last}\n{short or ''}", doc_id=doc, source=source, chars=len(text), bytes=len(text.encode()), pos=pos, mark=mark, dots=bool(_ELLIPSIS.search(line)), word=final[1].lower() if final else None)
+                    add(n=vote, doc_id=doc, source=source, chars=len(text), bytes=len(text.encode()), pos=pos, **_ending(line))
             yield pa.RecordBatch.from_pydict(got, schema=_ARROW)
             if len(words) + len(ends) + len(lines) > _FLUSH:
                 yield drain()
@@ -89,21 +88,40 @@ def _counter():
     return scan
 
 
+def _ending(line: str) -> dict:
+    first, last, key, mark = _shape(line)
+    final = re.search(r"([^\W\d_]+)[*_`]*$", line)
+    return {"kind": "d", "k1": first, "k2": f"{last}\n{key}", "mark": mark, "dots": bool(_ELLIPSIS.search(line)), "word": final[1].lower() if final else None, "single": first == last and len(line.split()) == 1}
+
+
+def _earlier(batches):
+    """The lines before the last TAIL_LINES of every text."""
+    for batch in batches:
+        got = {f.name: [] for f in _ARROW}
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            parts = [p for line in text.rstrip().split("\n") if (p := line.strip())]
+            for pos, line in enumerate(reversed(parts[:-TAIL_LINES])):
+                row = {"doc_id": doc, "pos": pos + TAIL_LINES, **_ending(line)}
+                for name, column in got.items():
+                    column.append(row.get(name))
+        yield pa.RecordBatch.from_pydict(got, schema=_ARROW)
+
+
 def _inner_words(parts: list[str]) -> set[str]:
-    """Words of a text but for those that end it or an open line near its end: a service line may follow the cut."""
+    """Words of a text but for those that end it or an open line: a service line may follow the cut."""
     body = [_WORD.findall(line.lower()) for line in parts]
-    for k in range(max(0, len(parts) - TAIL_LINES), len(parts)):
-        if k == len(parts) - 1 or not _END_MARK.search(parts[k]) or _ELLIPSIS.search(parts[k]):
+    for k, line in enumerate(parts):
+        if k == len(parts) - 1 or not _END_MARK.search(line) or _ELLIPSIS.search(line):
             body[k] = body[k][:-1]
     return {w for line in body for w in line}
 
 
-def _shape(line: str) -> tuple[str, str, str | None, bool]:
-    """First and last token with digits levelled, the whole levelled line if short, and whether it has an end mark."""
-    short = _DIGITS.sub("#", line) if len(line) <= SHORT else None
-    tokens = line.split(None, 1)
-    first, last = _DIGITS.sub("#", tokens[0]), _DIGITS.sub("#", line.rsplit(None, 1)[-1])
-    return first, last, short, bool(_END_MARK.search(line)) and not _ELLIPSIS.search(line)
+def _shape(line: str) -> tuple[str, str, str, bool]:
+    """First and last token with digits levelled, a key of the whole levelled line, and whether it has an end mark."""
+    level = _DIGITS.sub("#", line)
+    tokens = level.split(None, 1)
+    key = level if len(level) <= 16 else xxhash.xxh3_64_hexdigest(level)
+    return tokens[0], level.rsplit(None, 1)[-1], key, bool(_END_MARK.search(line)) and not _ELLIPSIS.search(line)
 
 
 def truncated_texts(docs: DataFrame) -> DataFrame:
@@ -120,7 +138,8 @@ def truncated_texts(docs: DataFrame) -> DataFrame:
     copies = materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "copies")
     rows = rows.join(copies, "h", "left").select("doc_id", "source", "text", (1 / F.coalesce("c", F.lit(1))).alias("vote"))
     seen = materialize(rows.mapInArrow(_counter(), _SCHEMA), "endings")
-    tails = seen.filter("kind = 'd'").dropDuplicates(["doc_id", "pos"]).withColumn("short", F.split("k2", "\n")[1]).withColumn("last", F.split("k2", "\n")[0])
+    parted = lambda d: d.withColumn("short", F.split("k2", "\n")[1]).withColumn("last", F.split("k2", "\n")[0])
+    tails = parted(seen.filter("kind = 'd'").dropDuplicates(["doc_id", "pos"]))
     sizes = tails.filter("pos = 0").select("doc_id", "source", "chars", "bytes")
     total = seen.filter("kind = 'd' and pos = 0").agg(F.round(F.coalesce(F.sum("n"), F.lit(0.0)), 3)).first()[0]
     votes = F.round(F.sum("n"), 3).alias("n")
@@ -129,12 +148,19 @@ def truncated_texts(docs: DataFrame) -> DataFrame:
     begun = ends.groupBy("k1").agg(votes.alias("of"))
     # the vote of the line that is judged does not count
     usual = ends.join(begun, "k1").filter(f"k2 != '' and n - 1 >= {ENDS} and n - 1 >= {END_SHARE} * (of - 1)").select(F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.lit(True).alias("usual"))
-    judged = tails.join(recurring, "short", "left").join(usual, (F.col("k1") == F.col("u1")) & (F.col("last") == F.col("u2")), "left")
-    # a line of one token is whole only if it recurs: a cut leaves such lines, too, all of them alike
-    judged = judged.withColumn("usual", F.col("usual") & ((F.col("short") != F.col("k1")) | F.col("recurs").isNotNull()))
-    judged = judged.withColumn("usual", F.when(F.col("usual"), True))
-    # the text proper ends in the last line that does not recur; a recurring line is whole, or it may be a cut itself
-    proper = judged.filter("recurs is null or (usual is null and not mark)").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))).filter("r = 1")
+
+    def proper_of(lines):
+        """The last line of a text that does not recur; a recurring line is whole, or it may be a cut itself."""
+        j = lines.join(recurring, "short", "left").join(usual, (F.col("k1") == F.col("u1")) & (F.col("last") == F.col("u2")), "left")
+        # a line of one token is whole only if it recurs: a cut leaves such lines, too, all of them alike
+        j = j.withColumn("usual", F.when(F.col("usual") & (~F.col("single") | F.col("recurs").isNotNull()), True))
+        j = j.filter("recurs is null or (usual is null and not mark)")
+        return j.groupBy("doc_id").agg(F.min_by(F.struct("mark", "dots", "word", "usual"), "pos").alias("x")).select("doc_id", "x.*")
+
+    ends_found = materialize(proper_of(tails), "proper")
+    open_ = tails.filter(f"pos = {TAIL_LINES - 1}").select("doc_id").join(ends_found, "doc_id", "left_anti")
+    further = rows.join(open_, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_earlier, _SCHEMA).dropDuplicates(["doc_id", "pos"])
+    proper = ends_found.unionByName(proper_of(parted(further)))
     # the trie: every prefix of a known word, kept where it is asked for
     known = seen.filter("kind = 'w'").groupBy(F.col("k1").alias("w")).agg(votes).filter(F.col("n") >= KNOWN)
     asked = proper.filter("not mark and word is not null").select("word").distinct()
@@ -148,10 +174,13 @@ def truncated_texts(docs: DataFrame) -> DataFrame:
         limits.append(at.join(heap, "s").filter((F.col("heap") >= AT_LIMIT) & (F.col("heap") >= LIMIT_SHARE * F.col("texts"))).select("doc_id"))
     limit = limits[0].unionByName(limits[1]).distinct().withColumn("at_limit", F.lit(True))
     j = proper.join(trie, "word", "left")
-    j = j.select("doc_id", "mark", "dots", F.coalesce("usual", F.lit(False)).alias("usual"), (~F.col("mark") & F.coalesce(~F.col("is_word"), F.lit(False))).alias("cut_word"))
+    is_word = F.col("is_word")
+    state = F.when(F.col("word").isNull(), "none").when(is_word, "word").when(is_word.isNotNull(), "prefix").otherwise("unknown")
+    j = j.select("doc_id", "mark", "dots", F.coalesce("usual", F.lit(False)).alias("usual"), state.alias("state"))
     j = sizes.select("doc_id", "source").join(j, "doc_id", "left").join(limit, "doc_id", "left")
     no = F.lit(False)
-    at_limit, cut_word, dots = F.coalesce("at_limit", no), F.coalesce("cut_word", no), F.coalesce("dots", no)
-    open_ = F.coalesce(~F.col("mark"), no) & ~dots
-    open_line = open_ & (~F.coalesce("usual", no) | at_limit)
-    return j.select("doc_id", "source", (dots | cut_word | open_line).alias("truncated"), cut_word.alias("cut_word"), open_line.alias("open_line"), dots.alias("dots"), at_limit.alias("at_limit"))
+    at_limit, dots, state = F.coalesce("at_limit", no), F.coalesce("dots", no), F.coalesce("state", F.lit(""))
+    open_line = ~F.coalesce("mark", F.lit(True)) & ~dots
+    cut_word = open_line & (state == "prefix")
+    between = open_line & (at_limit | (state.isin("word", "none") & ~F.coalesce("usual", no)))
+    return j.select("doc_id", "source", (dots | cut_word | between).alias("truncated"), cut_word.alias("cut_word"), (between & ~cut_word).alias("open_line"), dots.alias("dots"), at_limit.alias("at_limit"))

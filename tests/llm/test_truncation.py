@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from pulseframe.llm import truncation
 from pulseframe.llm.truncation import truncated_texts
 
 SUBJECTS = ["the neuron", "a quiet unit", "the second cell", "our reader", "the amplitude", "this recording"]
@@ -68,3 +69,26 @@ def test_long_text_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a", text), (2, "a", text + "The neur")], "doc_id long, source string, text string")
     assert {r.doc_id: r.truncated for r in truncated_texts(df).collect()} == {1: False, 2: True}
     assert truncated_texts(df.limit(0)).count() == 0
+
+
+def test_the_trie_decides(spark, monkeypatch):
+    """Without a vocabulary only ellipses and length limits are left."""
+    docs, cut = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    with_trie = {r.doc_id for r in truncated_texts(df).filter("truncated").collect()}
+    monkeypatch.setattr(truncation, "KNOWN", 10**9)
+    left = truncated_texts(df).filter("truncated").collect()
+    assert all(r.dots or r.at_limit for r in left)
+    assert len(with_trie & cut) >= len(cut & {r.doc_id for r in left}) + 5
+
+
+def test_many_and_long_service_lines(spark):
+    """Nine recurring lines and one of two hundred characters may follow a cut."""
+    docs, _ = corpus()
+    service = "\n".join(f"[filed by desk {c}]" for c in "abcdefghi")
+    long = "This message was sent by the recording service of the second laboratory and may hold readings that were not reviewed by anyone " + "at all " * 10 + "[end]"
+    rng = random.Random(9)
+    docs += [(3_000 + k, "desk", sentence(rng) + "\n" + service) for k in range(30)] + [(4_000 + k, "desk", sentence(rng) + "\n" + long) for k in range(30)]
+    docs += [(5_000, "desk", "The neuron changed slowly during the ni\n" + service), (5_001, "desk", "The second cell became unsta\n" + long)]
+    got = {r.doc_id for r in truncated_texts(spark.createDataFrame(docs, "doc_id long, source string, text string")).filter("truncated and source = 'desk'").collect()}
+    assert got == {5_000, 5_001}
