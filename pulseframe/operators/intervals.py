@@ -1,10 +1,10 @@
 """Union of overlapping intervals per entity, with the gaps between the merged periods.
 
-``IntervalMap`` is the keyed state: an ordered list of disjoint intervals in which every insertion
-finds the overlapped ones by binary search, merges them and updates the gaps. The streaming
-operator keeps one per entity between batches. The batch operator keeps one per entity and range
-partition, and carries the furthest end across partition edges with a prefix scan, so one entity
-may hold any share of the rows.
+``IntervalMap`` is the keyed state: an ordered map of disjoint intervals into which pieces are inserted as they
+arrive, in any order; every insertion finds the overlapped ones by binary search, merges them and thereby
+updates the gaps. The streaming operator keeps one per entity between batches. The batch operator keeps one
+per entity and range of starts, and carries the furthest end across the ranges with a prefix scan, so one
+entity may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -16,28 +16,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
-from .rangescan import exclusive_scan, range_partitions, range_sorted
+from .rangescan import exclusive_scan, range_partitions
 
 
 class IntervalMap:
-    """Disjoint closed intervals in order; intervals that touch count as one."""
+    """Disjoint closed intervals in order; intervals that touch count as one.
 
-    __slots__ = ("starts", "ends")
+    They lie in blocks of at most ``BLOCK``, so an insertion moves a block's rest, never the whole map's.
+    """
+
+    BLOCK = 512
+    __slots__ = ("blocks", "ahead")
 
     def __init__(self, starts=(), ends=()):
-        self.starts, self.ends = list(starts), list(ends)
+        starts, ends = list(starts), list(ends)
+        self.blocks = [(starts[k : k + self.BLOCK], ends[k : k + self.BLOCK]) for k in range(0, len(starts), self.BLOCK)]
+        #: The last end of every block.
+        self.ahead = [e[-1] for _, e in self.blocks]
 
     def insert(self, start: int, end: int) -> None:
-        if self.ends and start > self.ends[-1]:  # in order and apart: the usual case of sorted input
-            self.starts.append(start)
-            self.ends.append(end)
+        first = bisect_left(self.ahead, start)  # first block with an interval that ends at or after the start
+        if first == len(self.blocks):
+            if not first or len(self.blocks[-1][0]) >= self.BLOCK:
+                self.blocks.append(([], []))
+                self.ahead.append(end)
+            self.blocks[-1][0].append(start)
+            self.blocks[-1][1].append(end)
+            self.ahead[-1] = end
             return
-        lo = bisect_left(self.ends, start)  # first interval that ends at or after the start
-        hi = bisect_right(self.starts, end)  # first interval that starts after the end
+        last = first
+        while last + 1 < len(self.blocks) and self.blocks[last + 1][0][0] <= end:
+            last += 1
+        if last > first:  # what is overlapped lies in several blocks
+            starts, ends = [x for s, _ in self.blocks[first : last + 1] for x in s], [x for _, e in self.blocks[first : last + 1] for x in e]
+        else:
+            starts, ends = self.blocks[first]
+        lo = bisect_left(ends, start)  # first interval that ends at or after the start
+        hi = bisect_right(starts, end)  # first interval that starts after the end
         if lo < hi:
-            start, end = min(start, self.starts[lo]), max(end, self.ends[hi - 1])
-        self.starts[lo:hi] = [start]
-        self.ends[lo:hi] = [end]
+            start, end = min(start, starts[lo]), max(end, ends[hi - 1])
+        starts[lo:hi] = [start]
+        ends[lo:hi] = [end]
+        half = len(starts) // 2
+        parts = [(starts, ends)] if len(starts) <= self.BLOCK else [(starts[:half], ends[:half]), (starts[half:], ends[half:])]
+        self.blocks[first : last + 1] = parts
+        self.ahead[first : last + 1] = [e[-1] for _, e in parts]
+
+    @property
+    def starts(self) -> list[int]:
+        return [x for s, _ in self.blocks for x in s]
+
+    @property
+    def ends(self) -> list[int]:
+        return [x for _, e in self.blocks for x in e]
 
     def periods(self) -> list[tuple[int, int]]:
         return list(zip(self.starts, self.ends))
@@ -57,8 +88,8 @@ def _local(batches):
     key, held, pid, first = None, None, None, True
 
     def rows(edge):
-        k = len(held.starts)
-        return pd.DataFrame({"pid": pid, "key": key, "s": held.starts, "e": held.ends, "pe": pd.array([None, *held.ends[:-1]], dtype="Int64"), "edge": [edge] * k})
+        starts, ends = held.starts, held.ends
+        return pd.DataFrame({"pid": pid, "key": key, "s": starts, "e": ends, "pe": pd.array([None, *ends[:-1]], dtype="Int64"), "edge": [edge] * len(starts)})
 
     for pdf in batches:
         if not len(pdf):
@@ -86,7 +117,9 @@ def merge_intervals(df: DataFrame, key: str, start: str, end: str, partitions: i
     """
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(start).cast("long").alias("s"), F.col(end).cast("long").alias("e")).filter("key is not null and e > s")
     n = partitions or range_partitions(df.sparkSession, rows)
-    local = materialize(range_sorted(rows, ["key", "s", "e"], n).mapInPandas(_local, "pid int, key string, s long, e long, pe long, edge boolean"), "intervals")
+    # ranges of (key, start); within a range the pieces of a key come as they arrived
+    dealt = rows.repartitionByRange(n, "key", "s").sortWithinPartitions("key").withColumn("pid", F.spark_partition_id())
+    local = materialize(dealt.mapInPandas(_local, "pid int, key string, s long, e long, pe long, edge boolean"), "intervals")
     edges = local.filter("edge").groupBy("pid", "key").agg(F.max("e").alias("e"))
     reach = exclusive_scan(edges, ["key"], "e", "max", "reach")
     reached = local.join(F.broadcast(reach) if n <= 20_000 else reach, ["pid", "key"], "left").withColumn("opens", F.col("reach").isNull() | (F.col("s") > F.col("reach")))

@@ -48,12 +48,46 @@ def test_faults_per_source_and_in_blocks(spark):
     df = spark.createDataFrame(rows, "source string, id long, amp double, width double, t double")
     df = df.selectExpr("*", "1 as g", "2 as blk", "3 as own", "4 as n")
     d = spark.createDataFrame([("s", 10_000.0), ("s", None)], "source string, duration double")
-    for block in (50_000, 250):
-        got = measurement_faults(df, FIELDS, d, block_rows=block).collect()
+    for block, halo in ((50_000, 2_500), (250, 40)):
+        got = measurement_faults(df, FIELDS, d, block_rows=block, halo=halo).collect()
         assert {(r.id, r.field_name) for r in got} == want
         assert len(got) == len(want)
 
 
+def test_the_differences_decide():
+    """A reading at a moderate distance is a spike for its jump; without the differences it is none, and a drift never is."""
+    rng = np.random.default_rng(5)
+    u = rng.normal(0, 0.3, 400)
+    u[200] = 1.75 * np.subtract(*np.quantile(u, (0.96, 0.04)))
+    assert np.flatnonzero(spikes(u)).tolist() == [200]
+    assert not spikes(u, differences=False).any()
+    slow = np.concatenate((u[:150] * 0.1, np.linspace(0, 1, 100) * u[200], np.full(150, u[200])))
+    assert not spikes(slow).any()
+
+
+def test_bulk_and_runs_are_those_of_the_whole_source(spark):
+    """A state that fills one block only is normal, and a run over several blocks is one run."""
+    rng = np.random.default_rng(6)
+    v = np.concatenate((rng.normal(10, 0.3, 900), rng.normal(30, 0.3, 100)))
+    v[950] = 200.0
+    v[300:700] = v[300]
+    df = spark.createDataFrame([("s", i, float(x)) for i, x in enumerate(v)], "source string, id long, amp double")
+    got = {(r.id, r.fault) for r in measurement_faults(df, {"amp": "value"}, block_rows=100, halo=10).collect()}
+    assert got == {(950, "spike"), *((i, "stuck") for i in range(300, 700))}
+
+
+def test_order_against_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        t = np.sort(rng.integers(0, 60, 40)).astype(float)
+        t[rng.integers(0, 40, 5)] = rng.integers(0, 60, 5)
+        best = [1] * 40
+        for i in range(40):
+            best[i] += max((best[j] for j in range(i) if t[j] <= t[i]), default=0)
+        bad = out_of_order(t)
+        assert (np.diff(t[~bad]) >= 0).all() and (~bad).sum() == max(best)
+
+
 def test_faults_empty(spark):
     df = spark.createDataFrame([], "source string, id long, amp double, width double, t double")
     assert measurement_faults(df, FIELDS).count() == 0

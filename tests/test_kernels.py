@@ -19,13 +19,45 @@ def test_impulse_train_and_plateau():
     assert signals.find_peaks(np.array([5, 1, 5.0]), 1).tolist() == []
 
 
-def test_features_of_simulated_spikes():
-    x, at = spikefit.simulate_recording(2, 20_000, 5)
-    found = [spikefit.waveform_features(x[i - 200 : i + 201], 20_000, SpikeConfig()) for i in at if i > 200 and i < len(x) - 201]
-    good = [f for f in found if f]
-    assert len(good) >= 0.5 * len(found)
-    assert abs(np.median([f[1]["exp_lambda"] for f in good]) - 1) < 0.1
-    assert abs(np.median([f[1]["exp_const"] for f in good]) + 65) < 0.5
+def points_by_definition(w, peak, fs, c):
+    """The control points, straight from their definition: sums for the lines, loops for the crossings."""
+    ms = int(fs / 1000)
+    slope = signals.lowess(np.diff(w), np.arange(1, len(w)) / fs, c.smooth_frac)
+    steep = max(range(peak - ms, peak + ms), key=lambda i: (slope[i], -i))
+    spread = slope[:steep].std()
+    onset = next((i for i in range(steep - 1, -1, -1) if slope[i] <= spread), steep - 1)
+    a = max(0, int(steep + c.pre_peak_ms[0] * ms))
+    z = min(int(steep + c.pre_peak_ms[1] * ms), onset)
+
+    def line(lo, hi):
+        xs = list(range(lo, hi))
+        if len(xs) == 1:
+            return slope[lo] / (2 * lo), slope[lo] / 2
+        mx, my = sum(xs) / len(xs), sum(slope[x] for x in xs) / len(xs)
+        k = sum((x - mx) * (slope[x] - my) for x in xs) / sum((x - mx) ** 2 for x in xs)
+        return k, my - k * mx
+
+    (k0, c0), (k1, c1) = line(a, z), line(onset, steep)
+    at = int((c0 - c1) / (k1 - k0))
+    middle = (w[at] + w[peak]) / 2
+    rise = next(i for i in range(peak - 1, -1, -1) if w[i] <= middle) + 1
+    decay = next(i for i in range(peak, len(w)) if w[i] <= middle)
+    return max(0, at - int(c.pre_inflection_ms * ms)), at, rise, decay
+
+
+def test_control_points_of_simulated_spikes():
+    c, n = SpikeConfig(), 0
+    for seed in (5, 6):
+        x, at = spikefit.simulate_recording(2, 20_000, seed)
+        for i in at[(at > 200) & (at < len(x) - 201)]:
+            w = x[i - 200 : i + 201]
+            got = spikefit.waveform_features(w, 20_000, c)
+            want = points_by_definition(w, 200, 20_000, c)
+            assert got and tuple(got[0][k] for k in ("ramp_start", "inflection", "rise", "decay")) == want
+            assert got[1]["inflection_time"] == (200 - want[1]) / 20 and 0 < got[1]["inflection_time"] < 5
+            assert abs(got[1]["exp_lambda"] - 1) < 0.3 and abs(got[1]["exp_const"] + 65) < 2
+            n += 1
+    assert n > 60
 
 
 def test_flat_waveform_has_no_features():
