@@ -14,7 +14,6 @@ neighbouring tiles are joined through the nodes they share.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +26,8 @@ from ..scratch import materialize
 
 #: Grid steps per unit of spread, tokens per feature, and the similarity from which two records are linked.
 STEPS, WINDOW, LINK = 4, 24, 0.67
-#: A tile's side in grid steps, and how far a link reaches at most: 3W(1-J)/(1+J) steps in sum.
+#: A tile's side in grid steps.
 TILE = 128
-REACH = int(np.floor(3 * WINDOW * (1 - LINK) / (1 + LINK) + 1e-9))
 BANDS, ROWS = 12, 2
 LEAST = 5
 #: A component is loose if less than this share of its members is near its medoid.
@@ -149,26 +147,35 @@ def link(space: np.ndarray, q: np.ndarray) -> np.ndarray:
     return u.p
 
 
-def _degrees(space: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Records in the block of 3^d cells of one spread around every node."""
-    c = np.floor_divide(q, STEPS)
+def reach(features: int) -> int:
+    """How far a link reaches at most: mW(1-J)/(1+J) steps in sum over m features."""
+    return int(np.floor(features * WINDOW * (1 - LINK) / (1 + LINK) + 1e-9))
 
-    def key(shift):
-        h = space.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for f, d in enumerate(shift):
-            h = (h ^ (c[:, f] + d).astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-            h ^= h >> np.uint64(32)
-        return h
 
-    cells, first, inverse = np.unique(key((0,) * q.shape[1]), return_index=True, return_inverse=True)
-    held = np.bincount(inverse, n)
-    space, c = space[first], c[first]
-    near = np.zeros(len(cells))
-    for shift in product((-1, 0, 1), repeat=q.shape[1]):
-        k = key(shift)
-        at = np.minimum(np.searchsorted(cells, k), len(cells) - 1)
-        near += np.where(cells[at] == k, held[at], 0)
-    return near[inverse]
+def _degrees(space: np.ndarray, q: np.ndarray, n: np.ndarray, rows: int = 256) -> np.ndarray:
+    """Records linked with each node: exact Jaccard similarity of at least LINK, other records of the same node included.
+
+    Nodes are sorted by tile and first feature and compared in portions with the stretch that a link can reach.
+    """
+    far = reach(q.shape[1])
+    # positions within a tile fit in 16 bits, sums of their differences as well
+    most = 16_000 // q.shape[1]
+    order = np.lexsort((q[:, 0], space))
+    s, p, held = space[order], q[order], n[order]
+    start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    out = np.zeros(len(q))
+    for a, z in zip(start, np.append(start[1:], len(s))):
+        x = np.clip(p[a:z] - np.median(p[a:z], axis=0).astype(np.int64), -most, most).astype(np.int16)
+        for lo in range(0, z - a, rows):
+            hi = min(lo + rows, z - a)
+            b, e = np.searchsorted(x[:, 0], (int(x[lo, 0]) - far, int(x[hi - 1, 0]) + far + 1))
+            d = np.abs(x[lo:hi, None, 0] - x[None, b:e, 0])
+            for f in range(1, x.shape[1]):
+                d += np.abs(x[lo:hi, None, f] - x[None, b:e, f])
+            out[a + lo : a + hi] = (d <= far) @ held[a + b : a + e]
+    degree = np.empty(len(q))
+    degree[order] = out - 1
+    return degree
 
 
 def _tiles(batches):
@@ -177,7 +184,9 @@ def _tiles(batches):
 
     def done(parts):
         t = pa.Table.from_batches(parts)
-        space = np.unique(t["tile"].to_numpy(), return_inverse=True)[1]
+        # a tile's number is a hash, so the source is looked at beside it; tiles of one source that share a number do no harm
+        source = t["source"].combine_chunks().dictionary_encode().indices.to_numpy()
+        space = np.unique(np.column_stack((t["tile"].to_numpy(), source)), axis=0, return_inverse=True)[1].ravel()
         names = [c for c in t.column_names if c.startswith("q_")]
         q = np.column_stack([t[c].to_numpy() for c in names])
         node = t["node"].to_numpy()
@@ -213,7 +222,7 @@ def similarity_groups(df: DataFrame, features: list[str], *, source: str = "sour
     Records with a null source or id, or a feature that is null, NaN or infinite, belong to no group;
     repeated ids count once. Result: members (source, id, group_id, degree) and groups (source,
     group_id, n_members, typical), where group_id is the smallest id of a group, groups have at least
-    five members, and typical lists up to three ids of highest degree (most records close by; ties by
+    five members, and typical lists up to three ids of highest degree (most records linked; ties by
     id). An empty table gives no rows.
     """
     names = [f"q_{f}" for f in features]
@@ -226,7 +235,7 @@ def similarity_groups(df: DataFrame, features: list[str], *, source: str = "sour
     placed = materialize(once.join(scale, "source").select("source", "id", *grid), "placed")
     nodes = placed.groupBy("source", *names).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n"))
     tile = lambda c, by: F.floor((F.col(c) + by) / TILE)
-    spots = [F.array_distinct(F.array(tile(c, 0), tile(c, -REACH), tile(c, REACH))) for c in names]
+    spots = [F.array_distinct(F.array(tile(c, 0), tile(c, -reach(len(names))), tile(c, reach(len(names))))) for c in names]
     cut = nodes
     for i, s in enumerate(spots):
         cut = cut.withColumn(f"t{i}", F.explode(s))

@@ -76,11 +76,28 @@ def test_exact_jaccard():
         assert np.isclose(jaccard(a[None], b[None])[0], len(x & y) / len(x | y))
 
 
-def test_loose_groups_are_split(spark):
-    line = [("a", i, float(i), 0.0, 0.0) for i in range(400)]
-    dense = [("a", 1000 + i, float(v), float(v) * 0, 0.0) for i, v in enumerate(np.random.default_rng(6).normal(50, 3, 400))]
-    groups = similarity_groups(spark.createDataFrame(line + dense, SCHEMA), FEATURES)[1].collect()
-    assert sum(r.n_members for r in groups) == 800
+def test_only_splitting_parts_a_chain(spark, monkeypatch):
+    """Two dense states joined by a chain of bridging records are one component; the split alone parts them."""
+    rng = np.random.default_rng(8)
+    rows = [("a", i, *map(float, p)) for i, p in enumerate(np.vstack((rng.normal((0, 0, 0), 1, (200, 3)), rng.normal((40, 0, 0), 1, (200, 3)))))]
+    rows += [("a", 500 + i, float(x), 0.0, 0.0) for i, x in enumerate(np.arange(1, 40, 1.0))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = lambda: sorted(r.n_members for r in similarity_groups(df, FEATURES)[1].collect())
+    assert (got := sizes()) and len(got) >= 2 and got[-2] >= 180
+    monkeypatch.setattr(clusters, "TIGHT", 0.0)
+    assert len(sizes()) == 1
+
+
+@pytest.mark.parametrize("m", [2, 3, 5])
+def test_degrees_are_verified_links(m):
+    rng = np.random.default_rng(9)
+    q, space, n = rng.integers(0, 40, (300, m)), rng.integers(0, 3, 300), rng.integers(1, 4, 300).astype(float)
+    q[0, 0] = 1 << 39
+    sim = np.array([[jaccard(a[None], b[None])[0] for b in q] for a in q])
+    linked = (sim >= clusters.LINK) & (space[:, None] == space[None, :])
+    assert np.array_equal(clusters._degrees(space, q, n), linked @ n - 1)
+    apart = np.abs(q[:, None] - q[None]).sum(2)
+    assert apart[sim >= clusters.LINK].max() <= clusters.reach(m)
 
 
 @pytest.mark.parametrize("local", [50_000, 0])
