@@ -271,14 +271,13 @@ def _peel(names: list[str]):
     def run(pdf):
         pdf = pdf.iloc[np.lexsort((pdf["node"], -pdf["degree"]))]
         q, n, node = pdf[names].to_numpy(), pdf["n"].to_numpy(), pdf["node"].to_numpy()
-        comp, left, label = pdf["comp"].to_numpy().copy(), np.arange(len(pdf)), pdf["comp"].iat[0]
+        comp, left = pdf["comp"].to_numpy().copy(), np.arange(len(pdf))
         while len(left):
             near = np.minimum(np.abs(q[left] - q[left[0]]), WINDOW).sum(1) <= CORE_REACH
             if n[left[near]].sum() >= TIGHT * n[left].sum():
                 near[:] = True
-            comp[left[near]] = label
+            comp[left[near]] = node[left[near]].min()
             left = left[~near]
-            label = node[left].min() if len(left) else label
         return pdf.assign(comp=comp)
 
     return run
@@ -300,8 +299,8 @@ def _split_loose(at: DataFrame, names: list[str]) -> DataFrame:
         far = reduce(lambda a, b: a + b, [F.least(F.lit(WINDOW), F.greatest(F.col(f"hi_{c}") - F.col(f"m.{c}"), F.col(f"m.{c}") - F.col(f"lo_{c}"))) for c in names])
         j = df.join(best.filter(far > CORE_REACH).select("comp", "m"), "comp").withColumn("near", near())
         share = F.sum(F.when(F.col("near"), F.col("n")).otherwise(0)) / F.sum("n")
-        cut = j.groupBy("comp").agg(share.alias("share"), F.min(F.when(~F.col("near"), F.col("node"))).alias("rest"), F.first("m").alias("m"), F.count(F.lit(1)).alias("nodes"))
-        return materialize(cut.filter(F.col("share") < TIGHT).select("comp", "rest", "m", "nodes"), "loose")
+        cut = j.groupBy("comp").agg(share.alias("share"), F.min(F.when(~F.col("near"), F.col("node"))).alias("rest"), F.min(F.when(F.col("near"), F.col("node"))).alias("ball"), F.first("m").alias("m"), F.count(F.lit(1)).alias("nodes"))
+        return materialize(cut.filter(F.col("share") < TIGHT).select("comp", "rest", "ball", "m", "nodes"), "loose")
 
     part, done = at, []
     while (cut := loose(part)).limit(1).count():
@@ -310,8 +309,9 @@ def _split_loose(at: DataFrame, names: list[str]) -> DataFrame:
         done.append(materialize(small.groupBy("comp").applyInPandas(_peel(names), at.schema), "peeled"))
         if not (large := cut.filter(F.col("nodes") > LOCAL)).limit(1).count():
             return reduce(DataFrame.unionByName, done)
-        split = materialize(part.join(large, "comp").withColumn("near", near()).select(*at.columns, "rest", "near"), "split")
-        done.append(split.filter("near").select(*at.columns))
+        split = materialize(part.join(large, "comp").withColumn("near", near()).select(*at.columns, "rest", "ball", "near"), "split")
+        # either part is known by its own smallest node: the whole's may lie in the other
+        done.append(split.filter("near").withColumn("comp", F.col("ball")).select(*at.columns))
         part = split.filter("not near").withColumn("comp", F.col("rest")).select(*at.columns)
         if len(done) > 3 * _COMPACT:
             done = [materialize(reduce(DataFrame.unionByName, done), "settled")]
