@@ -32,7 +32,8 @@ def modes(x: np.ndarray, most: int = 3, height: float = 0.10, valley: float = 0.
     tall = inner[np.argsort(-h[inner], kind="stable")]
     a, b = sorted(tall[:2])
     low = min(h[a], h[b])
-    if low < height or s[a : b + 1].min() / low >= valley:
+    # the valley is the lowest raw bin strictly between both peaks
+    if low < height or b - a < 2 or h[a + 1 : b].min() / low >= valley:
         return 1
     return 3 if most >= 3 and len(tall) > 2 and h[tall[2]] >= height else 2
 

@@ -143,6 +143,55 @@ def simulate_piecewise(knots: list[int], coefficients: list[np.ndarray]) -> np.n
     return np.concatenate([np.polyval(c, np.arange(b - a, dtype=float)) for a, b, c in zip(knots, knots[1:], coefficients)])
 
 
+def fitted_curves(w: np.ndarray, fs: float, c: SpikeConfig, peak: int | None = None) -> dict[str, np.ndarray] | None:
+    """Fitted ramp (from its start up to the inflection) and fitted decay of a waveform, in its own units."""
+    got = waveform_features(w, fs, c, peak)
+    if got is None:
+        return None
+    p, f = got
+    w = np.asarray(w, float)
+    ramp = w[p["ramp_start"] : p["inflection"]]
+    x = np.arange(len(ramp)) * (1000 / fs)
+    tail = w[p["exp_start"] : p["exp_end"]]
+    amp, rate, const = fit_exponential(tail, 1000 / fs)
+    return {"ramp": np.polyval(np.polyfit(x, ramp, c.poly_order), x), "decay": amp * np.exp(-rate * np.arange(len(tail)) * 1000 / fs) + const}
+
+
+def continuous(knots: list[int], coefficients: list[np.ndarray]) -> list[np.ndarray]:
+    """The same polynomials with constants shifted so that each stretch begins where the one before it ends."""
+    out = [np.array(coefficients[0], float)]
+    for k in range(1, len(coefficients)):
+        c = np.array(coefficients[k], float)
+        c[-1] = np.polyval(out[-1], knots[k] - knots[k - 1])
+        out.append(c)
+    return out
+
+
+def simulate_piecewise_like(mean: np.ndarray, covariance: np.ndarray, knots: list[int], degrees: list[int], n: int, seed: int) -> list[np.ndarray]:
+    """``n`` joined signals whose coefficients are drawn from a normal distribution, as fitted over many waveforms."""
+    draws = np.random.default_rng(seed).multivariate_normal(mean, covariance, n)
+    cuts = np.cumsum([d + 1 for d in degrees])[:-1]
+    return [simulate_piecewise(knots, continuous(knots, np.split(row, cuts))) for row in draws]
+
+
+def simulate_train(spikes: list[np.ndarray], gaps: list[int], tau: float, pad: tuple[int, int] | None = None) -> np.ndarray:
+    """Waveforms one after the other, each followed by an exponential approach to the next one's first value.
+
+    A gap of 0 samples joins two waveforms directly; the last gap leads back to the last waveform's own start.
+    """
+    shapes = [np.asarray(s, float)[~np.isnan(s)] for s in spikes]
+    parts = []
+    for i, (s, gap) in enumerate(zip(shapes, gaps)):
+        parts.append(s)
+        if gap > 0:
+            end = shapes[i + 1][0] if i + 1 < len(shapes) else s[0]
+            rise = 1 - np.exp(-np.arange(gap) / tau)
+            rise = rise / rise[-1] if gap > 1 else np.ones(1)
+            parts.append(end + abs(end - s[-1]) * (rise - 1))
+    x = np.concatenate(parts)
+    return np.pad(x, pad, constant_values=(x[0], x[-1])) if pad else x
+
+
 def simulate_recording(seconds: float, fs: float, seed: int, mean_isi_ms: float = 50.0) -> tuple[np.ndarray, np.ndarray]:
     """A made-up intracellular recording and the samples of its peaks: ramp, upstroke, exponential decay."""
     rng = np.random.default_rng(seed)

@@ -13,6 +13,12 @@ from .hot import HOT_BYTES
 from .rangescan import cumulative_counts, plan_bytes
 
 
+def corr(x, y) -> Column:
+    """Pearson correlation; null where either side is constant."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.covar_pop(x, y) / F.when(spread > 0, spread)
+
+
 def average_ranks(df: DataFrame, value: str, group: list[str] | None = None, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(group..., value, n, rank): each distinct value with its average rank among all rows of its group.
 
@@ -68,7 +74,7 @@ def spearman(df: DataFrame, x: str, y: str, group: list[str]) -> DataFrame:
     ok = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, x, y)
     rx = average_ranks(ok, x, group).select(*group, x, F.col("rank").alias("rx"))
     ry = average_ranks(ok, y, group).select(*group, y, F.col("rank").alias("ry"))
-    return ok.join(rx, [*group, x]).join(ry, [*group, y]).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    return ok.join(rx, [*group, x]).join(ry, [*group, y]).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), corr("rx", "ry").alias("rho"))
 
 
 def moments(df: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..config import SpikeConfig
 from ..functions import signals
 from ..functions.spikefit import FEATURES, POINTS, waveform_features
+from ..scratch import materialize
+from .ranges import range_join
 
 
 def with_halo(chunks: DataFrame, halo: int) -> DataFrame:
@@ -27,14 +29,16 @@ def with_halo(chunks: DataFrame, halo: int) -> DataFrame:
     order = [F.col("arrived_at").desc()] if "arrived_at" in chunks.columns else [F.lit(1)]
     first = Window.partitionBy("recording_id", "chunk_id").orderBy(*order)
     c = chunks.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("recording_id", "fs", "chunk_id", "sample_offset", F.coalesce("samples", F.array().cast("array<double>")).alias("samples"))
-    w = Window.partitionBy("recording_id").orderBy("sample_offset")
     head, tail = F.slice("samples", 1, halo), F.when(F.size("samples") > halo, F.slice("samples", -halo, halo)).otherwise(F.col("samples"))
-    joins = lambda o: F.col("sample_offset") == o
-    prev_end = F.lag(F.col("sample_offset") + F.size("samples")).over(w)
-    next_start = F.lead("sample_offset").over(w)
-    c = c.withColumns({"before": F.when(joins(prev_end), F.lag(tail).over(w)), "after": F.when(next_start == F.col("sample_offset") + F.size("samples"), F.lead(head).over(w))})
+    c = materialize(c, "chunks")
+    # neighbours meet at the sample where one ends and the other begins: an equality join of edges, no sort of a recording
+    full = c.filter(F.size("samples") > 0)
+    ends = full.select("recording_id", (F.col("sample_offset") + F.size("samples")).alias("sample_offset"), tail.alias("before")).dropDuplicates(["recording_id", "sample_offset"])
+    starts = full.select("recording_id", F.col("sample_offset").alias("_end"), head.alias("after")).dropDuplicates(["recording_id", "_end"])
+    c = c.withColumn("_end", F.col("sample_offset") + F.size("samples"))
+    c = c.join(ends, ["recording_id", "sample_offset"], "left").join(starts, ["recording_id", "_end"], "left")
     none = F.array().cast("array<double>")
-    return c.withColumns({"before": F.coalesce("before", none), "after": F.coalesce("after", none)})
+    return c.select("recording_id", "fs", "chunk_id", "sample_offset", "samples", F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"))
 
 
 def _detect_chunk(x: np.ndarray, own: tuple[int, int], fs: float, c: SpikeConfig) -> np.ndarray:
@@ -69,6 +73,40 @@ def detect(chunks: DataFrame, config: SpikeConfig = SpikeConfig(), halo: int | N
     return with_halo(chunks, halo).mapInArrow(run, schema)
 
 
+def correlated(events: DataFrame, threshold: float) -> DataFrame:
+    """Events whose window correlates above ``threshold`` with the other windows of its recording on average.
+
+    The correlations of a window with all n windows add up to its product with the sum of the standardised
+    windows, so no pair is formed. Constant windows correlate with none; a recording's only event is dropped.
+    """
+    mean = F.aggregate("wf", F.lit(0.0), lambda a, v: a + v) / F.size("wf")
+    centred = events.withColumn("_m", mean).withColumn("_c", F.transform("wf", lambda v: v - F.col("_m")))
+    z = centred.withColumn("_n", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, v: a + v * v))).withColumn("_z", F.when(F.col("_n") > 0, F.transform("_c", lambda v: v / F.col("_n"))))
+    part = z.filter("_z is not null").select("recording_id", F.posexplode("_z").alias("_p", "_v")).groupBy("recording_id", "_p").agg(F.sum("_v").alias("_s"), F.count(F.lit(1)).alias("_k"))
+    total = part.groupBy("recording_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_s"))), lambda x: x["_s"]).alias("_t"), F.max("_k").alias("_k"))
+    j = z.join(total, "recording_id").withColumn("_d", F.aggregate(F.zip_with("_z", "_t", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v))
+    return j.filter((F.col("_k") > 1) & ((F.col("_d") - 1) / (F.col("_k") - 1) > threshold)).select(*events.columns)
+
+
+def other_signal(events: DataFrame, chunks: DataFrame, ref: str = "peak", window_ms: tuple[float, float] = (10.0, 10.0), bucket: int = 1 << 14, halo: int = 4096) -> DataFrame:
+    """(recording_id, fs, sample_idx, wf): windows of a second signal around a control point of each event.
+
+    ``events`` has fs, sample_idx and the column ``ref`` (a sample of the first signal); ``chunks`` the second signal
+    under the same recording_id, of any rate. Points are rescaled to that rate. Events without the point, or whose
+    window leaves the second signal, are left out. A window side must not be longer than ``halo``.
+    """
+    second = with_halo(chunks, halo).withColumn("_end", F.col("sample_offset") + F.size("samples")).withColumnRenamed("fs", "_fs2").withColumnRenamed("sample_offset", "_off")
+    rate = chunks.groupBy("recording_id").agg(F.max("fs").alias("_rate"))
+    at = events.filter(F.col(ref).isNotNull()).select("recording_id", F.col("fs").alias("_fs1"), "sample_idx", F.col(ref).alias("_ref")).join(rate, "recording_id")
+    at = at.withColumn("_at", (F.col("_ref") / F.col("_fs1") * F.col("_rate")).cast("long"))
+    j = range_join(at, second, "recording_id", "_at", "_off", "_end", bucket)
+    side = [F.floor(F.lit(w) * F.col("_fs2") / 1000).cast("int") for w in window_ms]
+    start = F.size("before") + (F.col("_at") - F.col("_off")).cast("int") - side[0]
+    whole = F.concat("before", "samples", "after")
+    j = j.withColumn("_x", whole).withColumn("_s", start).filter((F.col("_s") >= 0) & (F.col("_s") + side[0] + side[1] + 1 <= F.size("_x")))
+    return j.select("recording_id", F.col("_fs2").alias("fs"), "sample_idx", F.slice("_x", F.col("_s") + 1, side[0] + side[1] + 1).alias("wf"))
+
+
 def features(events: DataFrame, config: SpikeConfig = SpikeConfig()) -> DataFrame:
     """Add control points (absolute samples) and features to detected events; null where a waveform has none."""
     schema = "recording_id string, fs double, sample_idx long, t_us long, " + ", ".join(f"{p} long" for p in POINTS) + ", " + ", ".join(f"{f} double" for f in FEATURES)
@@ -99,8 +137,11 @@ def inter_event(df: DataFrame, windows_ms: tuple[int, ...] = (50, 200)) -> DataF
 
 
 def fit(chunks: DataFrame, config: SpikeConfig = SpikeConfig()) -> DataFrame:
-    """Detection, features and inter-event features in one table, one row per event."""
-    return inter_event(features(detect(chunks, config), config))
+    """Detection, features and inter-event features in one table, one row per event; windows unlike the others are dropped where asked."""
+    found = detect(chunks, config)
+    if config.corr_threshold is not None:
+        found = correlated(found, config.corr_threshold)
+    return inter_event(features(found, config))
 
 
 def quality_filter(df: DataFrame, least_inflection_ms: float = 0.0, r2_ramp: float = 0.5, r2_exp: float = 0.5, most_width_ms: float = 10.0) -> DataFrame:
@@ -114,28 +155,31 @@ def process(df: DataFrame) -> DataFrame:
     return df.withColumns({"log_isi": log("isi"), "log_isi_prev": log("isi_prev")}).drop("isi", "isi_prev", "r2_ramp", "r2_exp")
 
 
-def alt(events: DataFrame, func: Callable, names: list[str], column: str = "wf") -> DataFrame:
+def alt(events: DataFrame, func: Callable, names: list[str], column: str = "wf", errors: bool = False) -> DataFrame:
     """Apply ``func(window, fs)`` to each event's window; its value or values become the double columns ``names``.
 
-    An error or a wrong number of values gives nulls.
+    An error or a wrong number of values gives nulls, and its text in the column ``alt_error`` where ``errors`` is set.
     """
     keep = [c for c in events.columns if c != column]
     base = events.select(*keep, column)
 
     def run(batches):
         for b in batches:
-            got = []
+            got, said = [], []
             for w, fs in zip(b.column(column).to_pylist(), b.column("fs").to_pylist()):
                 try:
                     v = np.atleast_1d(np.asarray(func(np.array(w, float), fs), float)).tolist()
-                except Exception:
+                    said.append(None if len(v) == len(names) else f"{len(v)} values for {len(names)} names")
+                except Exception as e:  # the user's function may raise anything
                     v = []
+                    said.append(f"{type(e).__name__}: {e}")
                 got.append([x if x == x else None for x in v] if len(v) == len(names) else [None] * len(names))
             cols = [b.column(c) for c in keep] + [pa.array([g[i] for g in got], pa.float64()) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*keep, *names])
+            more = [pa.array(said, pa.string())] if errors else []
+            yield pa.RecordBatch.from_arrays([*cols, *more], names=[*keep, *names, *(["alt_error"] if errors else [])])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name != column)
-    return base.mapInArrow(run, schema + ", " + ", ".join(f"`{n}` double" for n in names))
+    return base.mapInArrow(run, schema + ", " + ", ".join(f"`{n}` double" for n in names) + (", alt_error string" if errors else ""))
 
 
 def write_recording(spark, recording_id: str, x: np.ndarray, fs: float, chunk: int) -> DataFrame:

@@ -70,7 +70,7 @@ def fit_quality(s, d):
 def feature_correlations(s, d):
     """Pearson correlations between waveform features per recording with more than four spikes."""
     x = _spikes(s, d, "peak_sharpness", "inflection_time", "log_isi")
-    c = lambda a, b: r6(F.corr(a, b))
+    c = lambda a, b: r6(ranks.corr(a, b))
     g = x.filter("peak_sharpness is not null and inflection_time is not null and log_isi is not null").groupBy("recording_id")
     return g.agg(F.count(F.lit(1)).alias("n"), c("peak_sharpness", "inflection_time").alias("r_si"), c("peak_sharpness", "log_isi").alias("r_sl")).filter("n > 4")
 
@@ -104,7 +104,7 @@ def best_recording(s, d):
 def signal_classes(s, d):
     """Waveforms as ramp, falling or other by the correlation of sample and place."""
     x = waveforms(s, d).select("vec_id", F.posexplode("wf").alias("pos", "x"))
-    r = x.groupBy("vec_id").agg(F.corr("pos", "x").alias("r"))
+    r = x.groupBy("vec_id").agg(ranks.corr("pos", "x").alias("r"))
     return r.select("vec_id", r6("r").alias("r"), F.when(F.col("r") > 0.3, "ramp").when(F.col("r") < -0.3, "falling").otherwise("other").alias("kind"))
 
 

@@ -50,7 +50,7 @@ def pearson_matrix(s, d):
     l = table(s, d, "lineitem")
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    one = l.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs], F.count(F.lit(1)).alias("n"))
+    one = l.agg(*[ranks.corr(a, b).alias(f"{a}|{b}") for a, b in pairs], F.count(F.lit(1)).alias("n"))
     return one.select("n", F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs]))).select("a", "b", "n", r6("r").alias("r"))
 
 
@@ -153,7 +153,7 @@ def exp_decay_loglinear(s, d):
 
 def entity_correlations(s, d):
     """Pearson r of quantity and price per supplier with at least five rows."""
-    l = table(s, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), F.corr("l_quantity", "l_extendedprice").alias("r"))
+    l = table(s, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"), ranks.corr("l_quantity", "l_extendedprice").alias("r"))
     return l.filter("n >= 5").select("l_suppkey", "n", r6("r").alias("r"))
 
 
