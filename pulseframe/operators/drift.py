@@ -69,10 +69,10 @@ def _number(v: str):
     return float(m[1].replace(",", ".")) if m else None
 
 
-def _leaves(values: dict[str, str], nested: bool) -> list[dict[str, str]]:
-    """The series a field consists of: itself, or every leaf of its objects and arrays."""
+def _leaves(values: dict[str, str], nested: bool) -> dict[str, dict[str, str]]:
+    """The series a field consists of by path: itself, or every leaf of its objects and arrays."""
     if not nested:
-        return [values]
+        return {"": values}
     out: dict[str, dict[str, str]] = {}
 
     def walk(path, x, k):
@@ -90,16 +90,33 @@ def _leaves(values: dict[str, str], nested: bool) -> list[dict[str, str]]:
             walk("", json.loads(v), k)
         except ValueError:
             out.setdefault("", {})[k] = v
-    return list(out.values()) or [{}]
+    return out or {"": {}}
 
 
 def agreement(old: tuple, new: tuple) -> float:
     """Best agreement of any series of one profile (kinds, sketch) with any of the other."""
-    nested = lambda kinds: bool({"object", "array"} & set(kinds))
-    pairs = [(a, b) for a in _leaves(old[1], nested(old[0])) for b in _leaves(new[1], nested(new[0]))]
+    pairs = [(a, b) for a in _leaves(old[1], _nested(old[0])).values() for b in _leaves(new[1], _nested(new[0])).values()]
     return max(_agreement(a, b) for a, b in pairs)
 
 
+def _nested(kinds) -> bool:
+    return bool({"object", "array"} & set(kinds))
+
+
+def leaf_conversion(old: tuple, new: tuple) -> dict | None:
+    """``conversion`` of two profiles; of a field nested on one side the leaf that agrees best counts, under 'path' (new) or 'old_path'."""
+    if _nested(old[0]) == _nested(new[0]):
+        return conversion(old[1], new[1])
+    path, a, b = max(((p, x, y) for p, x, y in _leaf_pairs(old, new)), key=lambda t: (_agreement(t[1], t[2]), t[0]))
+    return (conversion(a, b) or {}) | {"path" if _nested(new[0]) else "old_path": path}
+
+
+def _leaf_pairs(old: tuple, new: tuple):
+    if _nested(new[0]):
+        return [(p, old[1], y) for p, y in _leaves(new[1], True).items()]
+    return [(p, x, new[1]) for p, x in _leaves(old[1], True).items()]
+
+
 def _agreement(old: dict[str, str], new: dict[str, str]) -> float:
     """How well the values of the same spikes agree, from 0 to 1: equal, scaled, recoded or reformatted."""
     common = [k for k in old if k in new]
@@ -132,6 +149,29 @@ def _agreement(old: dict[str, str], new: dict[str, str]) -> float:
     return best
 
 
+def conversion(old: dict[str, str], new: dict[str, str]) -> dict | None:
+    """How values under the new name turn into those under the old one: {'factor': f}, {'codes': {new: old}}, or None if they are equal or unlike."""
+    pairs = [(old[k], new[k]) for k in old if k in new]
+    if not pairs or np.mean([a == b for a, b in pairs]) >= 0.9:
+        return None
+    numbers = [(p, q) for p, q in ((_number(a), _number(b)) for a, b in pairs) if p is not None and q is not None]
+    if len(numbers) >= max(2, 0.9 * len(pairs)):
+        p, q = (np.array(v, float) for v in zip(*numbers))
+        use = (q != 0) & np.isfinite(p) & np.isfinite(q)
+        if use.any():
+            ratio = float(np.median(p[use] / q[use]))
+            if ratio and np.mean(np.isclose(p[use], ratio * q[use], rtol=5e-3)) >= 0.9:
+                # units differ by round factors; what rounding blurs is put right
+                power = 10.0 ** round(np.log10(abs(ratio))) * np.sign(ratio)
+                return {"factor": float(power) if abs(ratio / power - 1) < 2e-3 else ratio}
+        return None
+    codes: dict[str, str] = {}
+    for a, b in pairs:
+        if codes.setdefault(b, a) != a:
+            return None
+    return {"codes": codes} if len(codes) <= 0.7 * len(pairs) else None
+
+
 def _tokens(name: str) -> set[str]:
     return set(re.findall(r"[a-z]+|\d+", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower()))
 
@@ -172,8 +212,8 @@ def best_matching(weight: np.ndarray) -> list[tuple[int, int]]:
     return [(p[j] - 1, j - 1) for j in range(1, size + 1) if 0 < p[j] <= n and j <= m and weight[p[j] - 1, j - 1] > 0]
 
 
-def _compare(old: dict, new: dict) -> list[tuple[str, str, str]]:
-    """Changes from one version's profile to the next; a profile is {field: (kinds, sketch)}."""
+def _compare(old: dict, new: dict) -> list[tuple]:
+    """Changes from one version's profile to the next, renamed ones with their conversion; a profile is {field: (kinds, sketch)}."""
     gone, came = sorted(set(old) - set(new)), sorted(set(new) - set(old))
     out, renamed = [], {}
     if gone and came:
@@ -186,7 +226,8 @@ def _compare(old: dict, new: dict) -> list[tuple[str, str, str]]:
                     weight[i, j] = values + 0.2 * names
         renamed = {gone[i]: came[j] for i, j in best_matching(weight)}
     for a, b in renamed.items():
-        out.append(("renamed", a, b))
+        how = leaf_conversion(old[a], new[b])
+        out.append(("renamed", a, b, json.dumps(how, sort_keys=True) if how else None))
         if old[a][0] and new[b][0] and old[a][0] != new[b][0]:
             out.append(("retyped", a, b))
     out += [("removed", a, "") for a in gone if a not in renamed]
@@ -197,7 +238,7 @@ def _compare(old: dict, new: dict) -> list[tuple[str, str, str]]:
     return out
 
 
-_CHANGE = pa.schema([("export_id", pa.int64()), ("change_kind", pa.string()), ("old_field", pa.string()), ("new_field", pa.string())])
+_CHANGE = pa.schema([("export_id", pa.int64()), ("change_kind", pa.string()), ("old_field", pa.string()), ("new_field", pa.string()), ("conversion", pa.string())])
 
 
 def _changes_of(table: pa.Table) -> pa.Table:
@@ -207,49 +248,80 @@ def _changes_of(table: pa.Table) -> pa.Table:
         profile[r["role"]][r["field"]] = (tuple(r["kinds"]), {x["spk"]: x["v"] for x in r["sketch"] or []})
         export = r["export_id"] if r["role"] == "new" else export
     rows = _compare(profile["old"], profile["new"]) if profile["old"] and profile["new"] else []
-    return pa.Table.from_pylist([{"export_id": export, "change_kind": k, "old_field": a, "new_field": b} for k, a, b in rows], schema=_CHANGE)
+    return pa.Table.from_pylist([dict(zip(_CHANGE.names, (export, *r, *[None] * (4 - len(r))))) for r in rows], schema=_CHANGE)
 
 
 def layout_changes(lines: DataFrame) -> DataFrame:
-    """(export_id, change_kind, old_field, new_field) between each version and the one before it.
+    """(export_id, change_kind, old_field, new_field, conversion) between each version and the one before it.
 
     Versions whose predecessor (ver_no one lower, same recording) is absent or has no readable line
     give no rows. A field belongs to a version if any readable line has it, null or not. Kinds are
     compared over non-null values; a field without any is never 'retyped'. Repeated lines change
-    nothing. An empty table gives no rows.
+    nothing. ``conversion`` is how a renamed field's new values turn into its old ones (JSON; null if they are the
+    same). An empty table gives no rows.
     """
     p = materialize(profiles(lines), "profiles")
     roles = F.array(F.struct(F.lit("new").alias("role"), F.col("ver_no").alias("to")), F.struct(F.lit("old").alias("role"), (F.col("ver_no") + 1).alias("to")))
     # a comparison sees two versions' fields with their bounded sketches, never their lines
     both = p.select("*", F.inline(roles))
-    return both.groupBy("recording_id", "to").applyInArrow(_changes_of, "export_id long, change_kind string, old_field string, new_field string")
+    return both.groupBy("recording_id", "to").applyInArrow(_changes_of, "export_id long, change_kind string, old_field string, new_field string, conversion string")
 
 
-def canonical_names(changes: DataFrame, lines: DataFrame) -> dict[str, str]:
-    """One name for all names that a field has had, over all recordings: its most used one.
+def canonical_names(changes: DataFrame, lines: DataFrame) -> dict[str, tuple[str, float | None, dict[str, str] | None, str]]:
+    """{field: (name, factor, codes, path)}: one name for all names that a field has had, its most used one, and how values get there.
 
-    The number of distinct field names bounds what reaches the driver.
+    Of several conversions between two names the most frequent one counts. The number of distinct field names
+    bounds what reaches the driver.
     """
     uses = {r["field"]: r["n"] for r in lines.groupBy("field").agg(F.countDistinct("export_id").alias("n")).collect()}
-    parent = {f: f for f in uses}
-
-    def root(f):
-        while parent[f] != f:
-            f = parent[f]
-        return f
-
-    for r in changes.filter("change_kind = 'renamed'").select("old_field", "new_field").distinct().collect():
-        a, b = root(r["old_field"]), root(r["new_field"])
-        if a != b:
-            a, b = sorted((a, b), key=lambda f: (-uses[f], f))
-            parent[b] = a
-    return {f: root(f) for f in uses}
-
-
-def unified_table(lines: DataFrame, names: dict[str, str]) -> DataFrame:
-    """One row per readable line, all versions' fields under their canonical names, values as text."""
-    mapping = lines.sparkSession.createDataFrame(sorted(names.items()), "field string, name string")
-    named = lines.join(F.broadcast(mapping), "field")
-    cols = sorted(set(names.values()))
-    return named.groupBy("export_id", "recording_id", "ver_no", "line_no").agg(*[F.min(F.when(F.col("name") == c, F.col("v"))).alias(c) for c in cols])
-
+    votes = changes.filter("change_kind = 'renamed'").groupBy("old_field", "new_field", "conversion").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("old_field", "new_field").agg(F.max_by("conversion", F.struct("n", "conversion")).alias("how"), F.sum("n").alias("n")).collect()
+    steps: dict[str, list[tuple[str, float | None, dict | None, str]]] = {f: [] for f in uses}
+    for r in sorted(best, key=lambda r: (-r["n"], r["old_field"], r["new_field"])):
+        how = json.loads(r["how"]) if r["how"] else {}
+        factor, codes = how.get("factor"), how.get("codes")
+        steps[r["old_field"]].append((r["new_field"], factor, codes, how.get("path", "")))
+        steps[r["new_field"]].append((r["old_field"], 1 / factor if factor else None, {b: a for a, b in codes.items()} if codes else None, how.get("old_path", "")))
+    names: dict[str, tuple[str, float | None, dict | None, str]] = {}
+    for root in sorted(uses, key=lambda f: (-uses[f], f)):
+        if root in names:
+            continue
+        names[root] = (root, None, None, "")
+        queue = [root]
+        while queue:
+            at = queue.pop(0)
+            _, factor, codes, _ = names[at]
+            for other, f, c, path in steps[at]:  # ``f`` and ``c`` lead from the other name to this one
+                if other not in names:
+                    through = {b: codes.get(a, a) if codes else a for b, a in c.items()} if c else codes
+                    names[other] = (root, f * (factor or 1.0) if f else factor, through, path)
+                    queue.append(other)
+    return names
+
+
+def unified_table(lines: DataFrame, names: dict[str, tuple[str, float | None, dict[str, str] | None, str]]) -> DataFrame:
+    """One row per readable line, all versions' fields under their canonical names, in one unit and notation.
+
+    A column is a bigint or double if all its values are such numbers, else text. Where a line has several fields of one name
+    whose values differ, the one that bears the name itself counts (else the first by name) and all stand in
+    ``conflicts``, a map from column to its values by field.
+    """
+    spark = lines.sparkSession
+    rows = [(f, n, k, c or {}, f"${p}" if p else None) for f, (n, k, c, p) in sorted(names.items())]
+    mapping = spark.createDataFrame(rows, "field string, name string, factor double, codes map<string,string>, path string")
+    leaf = F.when(F.col("path").isNotNull(), F.coalesce(F.expr("get_json_object(v, path)"), F.col("v"))).otherwise(F.col("v"))
+    lines = lines.join(F.broadcast(mapping), "field").withColumn("v", leaf)
+    number = F.regexp_extract(F.regexp_replace("v", ",", "."), r"^\s*([-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)", 1).try_cast("double")
+    plain = F.when(F.col("kind") != "null", F.col("v"))
+    scaled = F.coalesce((number * F.col("factor")).cast("string"), plain)
+    value = F.when(F.size("codes") > 0, F.coalesce(F.try_element_at("codes", plain), plain)).when(F.col("factor").isNotNull() & plain.isNotNull(), scaled).otherwise(plain)
+    named = materialize(lines.withColumn("value", value).filter("value is not null").select("export_id", "recording_id", "ver_no", "line_no", "field", "name", "value"), "named")
+    # one row per name
+    kinds = named.groupBy("name").agg(F.max(F.col("value").try_cast("double").isNull()).alias("text"), F.max(~F.col("value").rlike(r"^[-+]?\d{1,18}$")).alias("fraction")).collect()
+    types = {r["name"]: "string" if r["text"] else "double" if r["fraction"] else "bigint" for r in kinds}
+    cols = sorted({n for n, *_ in names.values()})
+    own = F.struct((F.col("field") != F.col("name")).alias("other"), "field", "value")
+    per = named.groupBy("export_id", "recording_id", "ver_no", "line_no", "name").agg(F.min(own)["value"].alias("value"), F.countDistinct("value").alias("k"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("field", "value")))).alias("all"))
+    pick = [F.max(F.when(F.col("name") == c, F.col("value").try_cast(types.get(c, "string")))).alias(c) for c in cols]
+    clash = F.map_from_entries(F.collect_list(F.when(F.col("k") > 1, F.struct("name", "all"))))
+    return per.groupBy("export_id", "recording_id", "ver_no", "line_no").agg(*pick, clash.alias("conflicts"))

@@ -79,13 +79,14 @@ def _export_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every change of layout between successive versions of a recording's export."""
-    return layout_changes(_export_lines(spark, d))
+    return layout_changes(_export_lines(spark, d)).drop("conversion")
 
 
 def p3_table(spark: SparkSession, d: str) -> DataFrame:
     """All readable export lines as one table under canonical field names."""
     lines = _export_lines(spark, d)
-    return unified_table(lines, canonical_names(layout_changes(lines), lines))
+    t = unified_table(lines, canonical_names(materialize(layout_changes(lines), "changes"), lines))
+    return t.withColumn("conflicts", F.to_json("conflicts"))
 
 
 P7_FIELDS = {"peak_amp": "value", "peak_width": "positive", "exp_lambda": "positive", "spk_times_ms": "time"}

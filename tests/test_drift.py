@@ -60,11 +60,28 @@ def test_unified_table(spark):
     b = [{("fit" if k == "r2" else k): v for k, v in r.items()} for r in a]
     lines = parse_lines(table(spark, [a, a, b]))
     names = canonical_names(layout_changes(lines), lines)
-    assert names["fit"] == "r2"
+    assert names["fit"][0] == "r2"
     t = unified_table(lines, names)
     assert t.count() == 36 and t.filter("r2 is null").count() == 0 and "fit" not in t.columns
 
 
+def test_unified_table_in_one_unit_and_notation(spark):
+    a = spikes(30)
+    code = {"low": 0, "mid": 1, "high": 2}
+    b = [{"spk_id": r["spk_id"], "time_s": round(r["t_ms"] / 1000, 6), "r2": r["r2"], "q2": r["q2"], "code": code[r["grp"]]} for r in a]
+    c = [{k: v for k, v in r.items() if k != "q2"} | {"fit_q": {"value": r["q2"], "n": 60}} for r in a]
+    clash = [dict(r, time_s=1.0) if i == 0 else r for i, r in enumerate(a)]
+    lines = parse_lines(table(spark, [a, b, a, c, clash]))
+    t = unified_table(lines, canonical_names(layout_changes(lines), lines))
+    assert dict(t.dtypes)["t_ms"] == "double" and dict(t.dtypes)["spk_id"] == "bigint" and dict(t.dtypes)["q2"] == "double"
+    want = {r["spk_id"]: r for r in a}
+    for r in t.filter("ver_no < 5").collect():
+        w = want[r.spk_id]
+        assert abs(r.t_ms - w["t_ms"]) < 1e-6 and r.grp == w["grp"] and r.r2 == w["r2"] and r.q2 == w["q2"] and not r.conflicts
+    odd = [r for r in t.filter("ver_no = 5").collect() if r.conflicts]
+    assert len(odd) == 1 and odd[0].t_ms == want[0]["t_ms"] and set(odd[0].conflicts["t_ms"].values()) == {str(want[0]["t_ms"]), "1000.0"}
+
+
 def test_matching_against_brute_force():
     rng = np.random.default_rng(4)
     for n, m in ((1, 3), (3, 3), (4, 2), (5, 5)):
