@@ -38,29 +38,40 @@ def modes(x: np.ndarray, most: int = 3, height: float = 0.10, valley: float = 0.
     return 3 if most >= 3 and len(tall) > 2 and h[tall[2]] >= height else 2
 
 
-def kmeans(x: np.ndarray, k: int, rounds: int = 100, tol: float = 1e-6):
-    """(label of each value or -1, centres, cutoffs); None for constant data. Starts from quantiles, so no seed."""
+def _weighted_quantiles(v: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Quantiles, linear between neighbours, of ascending values that stand ``n`` times each."""
+    ends = np.cumsum(n)
+    place = at * (ends[-1] - 1)
+    low = np.floor(place).astype(np.int64)
+    value = lambda k: v[np.searchsorted(ends, np.minimum(k, ends[-1] - 1), "right")]
+    return value(low) + (place - low) * (value(low + 1) - value(low))
+
+
+def kmeans(x: np.ndarray, k: int, rounds: int = 100, tol: float = 1e-6, weights: np.ndarray | None = None):
+    """(label of each value or -1, centres, cutoffs); None for constant data. Starts from quantiles, so no seed.
+
+    Every distinct value is looked at once, however often it stands; ``weights`` are counts of the given values.
+    """
     x = np.asarray(x, float)
     ok = np.isfinite(x)
-    v = x[ok]
-    if len(v) < k or np.ptp(v) == 0:
+    v, back = np.unique(x[ok], return_inverse=True)
+    n = np.bincount(back, None if weights is None else np.asarray(weights)[ok], minlength=len(v)).astype(np.int64)
+    if n.sum() < k or len(v) < 2:
         return None
-    c = np.quantile(v, np.linspace(0, 1, k + 2)[1:-1])
+    c = _weighted_quantiles(v, n, np.linspace(0, 1, k + 2)[1:-1])
     if len(np.unique(c)) < k:
-        c = np.linspace(v.min(), v.max(), k)
+        c = np.linspace(v[0], v[-1], k)
     for _ in range(rounds):
         own = np.abs(v[:, None] - c).argmin(1)
-        new = np.array([v[own == j].mean() if (own == j).any() else c[j] for j in range(k)])
-        done = np.allclose(new, c, atol=tol, rtol=0)
+        held, total = np.bincount(own, n, k), np.bincount(own, n * v, k)
+        new = np.where(held > 0, total / np.maximum(held, 1), c)
+        done = np.abs(new - c).max() <= tol
         c = new
         if done:
             break
-    order = np.argsort(c, kind="stable")
-    place = np.empty(k, int)
-    place[order] = np.arange(k)
-    c = c[order]
+    c = np.sort(c, kind="stable")
     labels = np.full(len(x), -1)
-    labels[ok] = np.abs(v[:, None] - c).argmin(1)
+    labels[ok] = np.abs(v[:, None] - c).argmin(1)[back]
     return labels, c, (c[1:] + c[:-1]) / 2
 
 

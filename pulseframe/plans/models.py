@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -13,7 +11,7 @@ from ..config import SpikeConfig
 from ..functions import cluster1d, gaussian, registry, signals, spikefit
 from ..functions import models as m
 from ..operators import ranks, spikes
-from ..scratch import scratch_root
+from ..scratch import folder
 from ..streaming import operators as streaming
 from .base import events, table, waveforms
 
@@ -201,12 +199,12 @@ def kmeans1d(s, d):
     schema = "event_type string, low double, high double, cutoff double"
 
     def run(pdf):
-        got = cluster1d.kmeans(pdf["value"].to_numpy(), 2)
+        got = cluster1d.kmeans(pdf["value"].to_numpy(), 2, weights=pdf["n"].to_numpy())
         row = (pdf["event_type"].iat[0], *(got[1].tolist() + [float(got[2][0])] if got else [None] * 3))
         return pd.DataFrame([row], columns=["event_type", "low", "high", "cutoff"])
 
     # equal values weigh by their count; what a task sees is the value histogram of one type
-    e = table(s, d, "events").select("event_type", F.round("value", 2).alias("value")).filter("value is not null")
+    e = table(s, d, "events").select("event_type", F.round("value", 2).alias("value")).filter("value is not null").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n"))
     return e.groupBy("event_type").applyInPandas(run, schema).select("event_type", *[r6(c).alias(c) for c in ("low", "high", "cutoff")])
 
 
@@ -242,14 +240,14 @@ def ridge_cv(s, d):
 
 
 def ols_hc3(s, d):
-    """Least squares with robust standard errors per market segment of the customers' nations."""
-    schema = "p_brand string, b0 double, b1 double, se1 double"
-
-    def run(pdf):
-        g = m.ols_hc3(pdf[["p_size"]].to_numpy(float), pdf["p_retailprice"].to_numpy(float))
-        return pd.DataFrame([(pdf["p_brand"].iat[0], g["beta"][0], g["beta"][1], g["se"][1])], columns=["p_brand", "b0", "b1", "se1"])
-
-    return table(s, d, "part").select("p_brand", "p_size", "p_retailprice").groupBy("p_brand").applyInPandas(run, schema).select("p_brand", *[F.round(c, 4).alias(c) for c in ("b0", "b1", "se1")])
+    """Least squares of price on size per brand with HC3 standard errors, from moments and one pass over the residuals."""
+    p = table(s, d, "part").select("p_brand", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").cast("double").alias("y")).filter("x is not null and y is not null")
+    g = p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.covar_pop("x", "y").alias("c")).filter("n > 2 and vx > 0").withColumn("b1", F.col("c") / F.col("vx"))
+    j = p.join(g, "p_brand").withColumn("u", F.col("x") - F.col("mx"))
+    j = j.withColumn("e", F.col("y") - F.col("my") - F.col("b1") * F.col("u")).withColumn("h", 1 / F.col("n") + F.col("u") * F.col("u") / (F.col("n") * F.col("vx")))
+    term = F.col("u") * F.col("e") / (F.when(F.col("h") < 1, 1 - F.col("h")) * F.col("n") * F.col("vx"))
+    r = j.groupBy("p_brand").agg(F.first("b1").alias("b1"), F.first("my").alias("my"), F.first("mx").alias("mx"), F.sqrt(F.sum(term * term)).alias("se1"))
+    return r.select("p_brand", F.round(F.col("my") - F.col("b1") * F.col("mx"), 4).alias("b0"), F.round("b1", 4).alias("b1"), F.round("se1", 4).alias("se1"))
 
 
 def bootstrap_ci(s, d):
@@ -326,16 +324,19 @@ def waveform_pca(s, d):
 def _replay(s, d, columns):
     """The events table as a stream of files, in a shared scratch folder."""
     e = table(s, d, "events").select(*columns)
-    src = f"{scratch_root(s)}/stream-{uuid.uuid4().hex}"
+    src = folder(s, "stream")
     e.write.parquet(src)
     return s.readStream.schema(e.schema).parquet(src)
 
 
 def _drain(s, stream, mode):
-    name = "q" + uuid.uuid4().hex
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{scratch_root(s)}/cp-{name}").trigger(availableNow=True).start()
+    """The stream's result as a table in the scratch folder; nothing passes through the driver."""
+    out, schema = folder(s, "sink"), stream.schema
+    s.createDataFrame([], schema).write.parquet(out)
+    write = lambda df, _: df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", folder(s, "progress")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.table(name)
+    return s.read.schema(schema).parquet(out)
 
 
 def streaming_tumbling(s, d):
@@ -352,13 +353,20 @@ def streaming_session(s, d):
     return t.select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
+def streaming_sliding(s, d):
+    """Counts and means of two days every day from a replayed stream; equal to the batch result."""
+    st = _replay(s, d, [F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"])
+    t = _drain(s, streaming.sliding(st, "ts", "2 days", "1 day", "0 seconds", "event_type"), "complete")
+    return t.select(F.unix_micros("start").alias("start_us"), "event_type", "n", r6("mean").alias("mean"))
+
+
 def streaming_refractory(s, d):
     """Events at least an hour after the last kept one of their user."""
     st = _replay(s, d, ["user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")])
     return _drain(s, streaming.refractory(st, "user_id", 3_600_000_000), "append").select("user_id", "us")
 
 
-NAMES = "waveform_features exp_decay_fit control_points alt_python piecewise_poly gaussian_cycles peak_nms welch_psd multitaper_psd butter_filtfilt aperiodic_fit psd_peakiness simple_lfp pelt_changepoints kmeans1d cluster_multimodal temporal_transitions ridge_cv ols_hc3 bootstrap_ci entity_bootstrap permutation_test test_p_values classifier waveform_pca streaming_tumbling streaming_session streaming_refractory"
+NAMES = "waveform_features exp_decay_fit control_points alt_python piecewise_poly gaussian_cycles peak_nms welch_psd multitaper_psd butter_filtfilt aperiodic_fit psd_peakiness simple_lfp pelt_changepoints kmeans1d cluster_multimodal temporal_transitions ridge_cv ols_hc3 bootstrap_ci entity_bootstrap permutation_test test_p_values classifier waveform_pca streaming_tumbling streaming_sliding streaming_session streaming_refractory"
 
 
 def queries():
@@ -368,5 +376,8 @@ def queries():
 def oracle_sql():
     return {
         "streaming_tumbling": f"select epoch_us(ts) // {DAY} * {DAY} start_us, event_type, count(*) n, round(avg(value), 6) mean from events group by 1, 2",
+        "streaming_sliding": f"with w as (select epoch_us(ts) // {DAY} * {DAY} - k * {DAY} s, event_type, value from events, (values (0), (1)) t(k)) select s start_us, event_type, count(*) n, round(avg(value), 6) mean from w group by 1, 2",
+        "streaming_refractory": "with recursive e as (select user_id, epoch_us(ts) us from events), r as (select user_id, min(us) us from e group by 1 union all select r.user_id, min(e.us) from r join e on e.user_id = r.user_id and e.us >= r.us + 3600000000 group by r.user_id) select user_id, us from r",
+        "ols_hc3": "with p as (select p_brand, p_size::double x, p_retailprice::double y from part), g as (select p_brand, count(*) n, avg(x) mx, avg(y) my, var_pop(x) vx, covar_pop(x, y) / var_pop(x) b1 from p group by 1 having count(*) > 2 and var_pop(x) > 0), j as (select p_brand, b1, mx, my, n, vx, x - mx u, y - my - b1 * (x - mx) e, 1.0::double / n + (x - mx) ^ 2 / (n * vx) h from p join g using (p_brand)) select p_brand, round(any_value(my - b1 * mx), 4) b0, round(any_value(b1), 4) b1, round(sqrt(sum((u * e / ((1 - h) * n * vx)) ^ 2)), 4) se1 from j group by 1",
         "streaming_session": "with x as (select user_id, epoch_us(ts) us, case when lag(epoch_us(ts)) over w is null or epoch_us(ts) - lag(epoch_us(ts)) over w >= 21600000000 then 1 else 0 end f from events window w as (partition by user_id order by epoch_us(ts), event_id)), g as (select *, sum(f) over (partition by user_id order by us, f desc rows unbounded preceding) g from x) select user_id, min(us) start_us, count(*) n from g group by user_id, g",
     }

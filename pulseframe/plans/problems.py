@@ -9,7 +9,7 @@ from ..operators.drift import canonical_names, layout_changes, parse_lines, unif
 from ..operators.faults import measurement_faults
 from ..operators.grid import regular_grid
 from ..operators.intervals import merge_intervals, micros
-from ..scratch import materialize
+from ..scratch import folder, materialize
 
 BURST_LISTS = ("high_bursts", "low_bursts", "rest_bursts")
 
@@ -20,15 +20,33 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Continuous burst periods and the gaps between them, per recording and burst list."""
-    b = _table(spark, d, "burst_lists").filter("recording_id is not null")
-    lists = F.array(*[F.struct(F.lit(n).alias("burst_list"), F.col(n).alias("pieces")) for n in BURST_LISTS])
-    long = b.select("recording_id", "time_unit", F.inline(lists)).select("recording_id", "burst_list", "time_unit", F.inline("pieces"))
-    rows = long.select(F.concat_ws("|", "burst_list", "recording_id").alias("key"), micros(F.col("t_start"), F.col("time_unit")).alias("s"), micros(F.col("t_end"), F.col("time_unit")).alias("e"))
+    rows = _burst_pieces(_table(spark, d, "burst_lists"))
     merged = merge_intervals(rows, "key", "s", "e")
     part = F.split("key", r"\|", 2)
     return merged.select(part[1].alias("recording_id"), part[0].alias("burst_list"), "seg_kind", F.col("start").alias("start_us"), F.col("end").alias("end_us"))
 
 
+def _burst_pieces(b: DataFrame) -> DataFrame:
+    b = b.filter("recording_id is not null")
+    lists = F.array(*[F.struct(F.lit(n).alias("burst_list"), F.col(n).alias("pieces")) for n in BURST_LISTS])
+    long = b.select("recording_id", "time_unit", F.inline(lists)).select("recording_id", "burst_list", "time_unit", F.inline("pieces"))
+    return long.select(F.concat_ws("|", "burst_list", "recording_id").alias("key"), micros(F.col("t_start"), F.col("time_unit")).alias("s"), micros(F.col("t_end"), F.col("time_unit")).alias("e"))
+
+
+def p4_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same periods and gaps by a stream of pieces into keyed state, one ordered map per recording and list."""
+    from ..streaming.operators import interval_union
+    from .models import _drain
+
+    pieces = _burst_pieces(_table(spark, d, "burst_lists"))
+    src = folder(spark, "stream")
+    pieces.write.parquet(src)
+    seen = _drain(spark, interval_union(spark.readStream.schema(pieces.schema).parquet(src).select("key", F.col("s").alias("start"), F.col("e").alias("end")), "key"), "update")
+    last = seen.groupBy("key").agg(F.max("version").alias("version"))
+    part = F.split("key", r"\|", 2)
+    return seen.join(last, ["key", "version"]).select(part[1].alias("recording_id"), part[0].alias("burst_list"), "seg_kind", F.col("start").alias("start_us"), F.col("end").alias("end_us"))
+
+
 P4_SQL = """
 with x as (select recording_id, 'high_bursts' burst_list, time_unit, unnest(high_bursts) p from burst_lists
  union all select recording_id, 'low_bursts', time_unit, unnest(low_bursts) from burst_lists
@@ -104,8 +122,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p5_found": p5_found, "p5_series": p5_series, "p7_found": p7_found, "p7_faults": p7_faults}
+    return {"p3_found": p3_found, "p3_table": p3_table, "p4_found": p4_found, "p4_stream": p4_stream, "p5_found": p5_found, "p5_series": p5_series, "p7_found": p7_found, "p7_faults": p7_faults}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p5_found": P5_SQL}
+    return {"p4_found": P4_SQL, "p4_stream": P4_SQL, "p5_found": P5_SQL}

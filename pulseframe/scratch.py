@@ -36,16 +36,22 @@ def _forget(jvm, conf, path: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below the scratch folder, deleted when the Python driver ends."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark._jvm, spark._jsc.hadoopConfiguration(), path)
+    return path
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the scratch folder and return it as a table without lineage.
 
     The folder is deleted when the Python driver ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    atexit.register(_forget, spark._jvm, spark._jsc.hadoopConfiguration(), path)
     return spark.read.schema(df.schema).parquet(path)
