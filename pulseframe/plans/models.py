@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import SpikeConfig
-from ..functions import cluster1d, gaussian, registry, signals, spikefit
+from ..functions import cluster1d, gaussian, registry, signals, spectra, spikefit
 from ..functions import models as m
 from ..operators import ranks, spikes
 from ..scratch import folder
@@ -68,6 +68,16 @@ def alt_python(s, d):
     return spikes.alt(_events(s, d), lambda w, fs: (w.mean(), w.std()), ["alt_mean", "alt_std"]).select("recording_id", "sample_idx", r6("alt_mean").alias("alt_mean"), r6("alt_std").alias("alt_std"))
 
 
+def second_signal(s, d):
+    """Mean and spread of a second signal around the events of the first: here the squares of the previews at a third of the rate."""
+    chunks, _ = _previews(s, d)
+    ev = spikes.detect(chunks, PREVIEW).withColumn("peak", F.col("sample_idx"))
+    thin = F.filter(F.transform("samples", lambda v, i: F.when(i % 3 == 0, v * v)), lambda v: v.isNotNull())
+    second = chunks.filter("samples is not null").select("recording_id", (F.col("fs") / 3).alias("fs"), "chunk_id", (F.col("sample_offset") / 3).cast("long").alias("sample_offset"), thin.alias("samples"), "arrived_at")
+    w = spikes.other_signal(ev, second, "peak", (6.0, 6.0))
+    return spikes.alt(w, lambda x, fs: (x.mean(), x.std()), ["mean", "std"], errors=True).select("recording_id", "sample_idx", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "alt_error")
+
+
 def piecewise_poly(s, d):
     """Three joined polynomials per detected waveform."""
 
@@ -152,6 +162,45 @@ def aperiodic_fit(s, d):
     return _kernel(s, d, fn, ["offset", "exponent", "area", "area_clipped"])
 
 
+def spectral_model(s, d):
+    """Aperiodic part with a knee, number of peaks, the highest one and r2 of each user's spectrum."""
+
+    def fn(w, fs):
+        f, p = signals.welch_psd(w, fs, 32)
+        g = spectra.fit(100 * f[1:], p[1:], knee=True, most=3)
+        top = g["peaks"][0] if g["peaks"] else (np.nan, np.nan, np.nan)
+        return g["exponent"], float(len(g["peaks"])), top[0], top[1], g["r2"]
+
+    return _kernel(s, d, fn, ["exponent", "peaks", "centre", "height", "r2"])
+
+
+def spectral_bands(s, d):
+    """Mean centre and height of the peaks of each user's spectrum in each band, in fixed slots."""
+
+    def fn(w, fs):
+        f, p = signals.welch_psd(w, fs, 32)
+        t = spectra.band_table(spectra.fit(100 * f[1:], p[1:], most=6)["peaks"])
+        return [x for n, *_ in spectra.BANDS for x in t.get(n, (np.nan, np.nan))[:2]]
+
+    return _kernel(s, d, fn, [f"{n}_{k}" for n, *_ in spectra.BANDS for k in ("centre", "height")])
+
+
+def spectral_grid(s, d):
+    """Exponents of each user's spectrum for every window length and model of a grid, fits of r2 below 0.2 left out."""
+    out = None
+    for length in (16, 32):
+        for knee in (False, True):
+
+            def fn(w, fs, length=length, knee=knee):
+                f, p = signals.welch_psd(w, fs, length)
+                g = spectra.fit(100 * f[1:], p[1:], knee=knee, most=2)
+                return g["exponent"], g["r2"]
+
+            one = _kernel(s, d, fn, ["exponent", "r2"]).filter("r2 >= 0.2").select("user_id", F.lit(length).alias("length"), F.lit("knee" if knee else "fixed").alias("mode"), "exponent", "r2")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
 def psd_peakiness(s, d):
     def fn(w, fs):
         k = signals.peakiness(*signals.welch_psd(w, fs, 32), mains=0.3, width=0.02)
@@ -298,14 +347,19 @@ def test_p_values(s, d):
 
 
 def classifier(s, d):
-    """Logistic regression and random forest on the waveforms: training accuracy on all rows."""
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    """Logistic regression, linear support vectors and random forest on the waveforms: accuracy on the fifth held out by hash, with its bootstrap interval."""
+    from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    x = waveforms(s, d).select(F.col("label").cast("double").alias("label"), array_to_vector("wf").alias("features"))
+    x = waveforms(s, d).select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector("wf").alias("features"))
+    held = F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(5)) == 0
     out = None
-    for name, model in (("logit", LogisticRegression(maxIter=20)), ("forest", RandomForestClassifier(numTrees=10, maxDepth=4, seed=42))):
-        acc = model.fit(x).transform(x).agg(F.lit(name).alias("model"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), 2).alias("accuracy"))
+    for name, model in (("logit", LogisticRegression(maxIter=20)), ("svm", OneVsRest(classifier=LinearSVC(maxIter=10))), ("forest", RandomForestClassifier(numTrees=10, maxDepth=4, seed=42))):
+        right = model.fit(x.filter(~held)).transform(x.filter(held)).select((F.col("prediction") == F.col("label")).cast("double").alias("ok"))
+        acc = right.agg(F.lit(name).alias("model"), F.count("ok").alias("n"), F.round(F.avg("ok"), 2).alias("accuracy"), F.avg("ok").alias("p"))
+        # resampled accuracies of n rows are binomial: the interval needs no copies of the rows
+        half = 1.96 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
+        acc = acc.select("model", "n", "accuracy", F.round(F.greatest(F.col("p") - half, F.lit(0.0)), 2).alias("lo"), F.round(F.least(F.col("p") + half, F.lit(1.0)), 2).alias("hi"))
         out = acc if out is None else out.unionByName(acc)
     return out
 
@@ -366,7 +420,7 @@ def streaming_refractory(s, d):
     return _drain(s, streaming.refractory(st, "user_id", 3_600_000_000), "append").select("user_id", "us")
 
 
-NAMES = "waveform_features exp_decay_fit control_points alt_python piecewise_poly gaussian_cycles peak_nms welch_psd multitaper_psd butter_filtfilt aperiodic_fit psd_peakiness simple_lfp pelt_changepoints kmeans1d cluster_multimodal temporal_transitions ridge_cv ols_hc3 bootstrap_ci entity_bootstrap permutation_test test_p_values classifier waveform_pca streaming_tumbling streaming_sliding streaming_session streaming_refractory"
+NAMES = "waveform_features exp_decay_fit control_points alt_python second_signal piecewise_poly gaussian_cycles peak_nms welch_psd multitaper_psd butter_filtfilt aperiodic_fit spectral_model spectral_bands spectral_grid psd_peakiness simple_lfp pelt_changepoints kmeans1d cluster_multimodal temporal_transitions ridge_cv ols_hc3 bootstrap_ci entity_bootstrap permutation_test test_p_values classifier waveform_pca streaming_tumbling streaming_sliding streaming_session streaming_refractory"
 
 
 def queries():

@@ -81,3 +81,23 @@ def test_tables(spark, tmp_path):
     for n in (0, 1):
         a.write.parquet(f"file://{tmp_path}/feat_{n}")
     assert sorted(r.chunk_no for r in tables.load_chunked(spark, f"file://{tmp_path}", "feat").select("chunk_no").distinct().collect()) == [0, 1]
+
+
+def test_windows_unlike_the_others_are_dropped(spark):
+    rng = np.random.default_rng(3)
+    base = np.sin(np.arange(40) / 5)
+    wf = [base + rng.normal(0, 0.1, 40) for _ in range(12)] + [-base, rng.normal(0, 1, 40), np.zeros(40)]
+    df = spark.createDataFrame([("r", i, [float(v) for v in w]) for i, w in enumerate(wf)] + [("alone", 99, [1.0, 2.0])], "recording_id string, sample_idx long, wf array<double>")
+    got = sorted(r.sample_idx for r in spikes.correlated(df, 0.5).collect())
+    c = np.corrcoef(np.array(wf[:14]))
+    assert got == np.flatnonzero((c.sum(0) - 1) / 13 > 0.5).tolist() == list(range(12))
+
+
+def test_a_second_signal_at_another_rate(spark):
+    x = np.arange(3000.0)
+    second = spikes.write_recording(spark, "r", x, 500.0, 700)
+    ev = spark.createDataFrame([("r", 1000.0, 5, 40), ("r", 1000.0, 6, 2803), ("r", 1000.0, 7, 5990), ("r", 1000.0, 8, None)], "recording_id string, fs double, sample_idx long, rise long")
+    w = spikes.other_signal(ev, second, "rise", (20.0, 30.0))
+    assert {r.sample_idx: (r.wf[0], r.wf[-1], len(r.wf)) for r in w.collect()} == {5: (10.0, 35.0, 26), 6: (1391.0, 1416.0, 26)}
+    out = spikes.alt(w, lambda v, fs: v.mean() if fs == 500 and v[0] > 100 else 1 / 0, ["m"], errors=True)
+    assert {r.sample_idx: (r.m, r.alt_error) for r in out.collect()} == {5: (None, "ZeroDivisionError: division by zero"), 6: (1403.5, None)}
