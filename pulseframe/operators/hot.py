@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .rangescan import PARTITION_BYTES, number_rows, plan_bytes
+from ..scratch import materialize
+from .rangescan import PARTITION_BYTES, exclusive_scan, number_rows, plan_bytes, range_partitions, range_sorted
 
 #: Rows of a key from which it is split; a table of no more bytes than one task reads holds no such key, others and tables of unknown size are counted.
 HOT_ROWS, HOT_BYTES = 5_000_000, PARTITION_BYTES
@@ -52,3 +53,27 @@ def row_windows(df: DataFrame, key: str, order: list[str], before: int, after: i
     w = Window.partitionBy("_k", "_b").orderBy("rank")
     done = plain(cut, w).filter(F.col("_b") == F.col("_home"))
     return cold.unionByName(done.select(*cold.columns))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, fn: str, name: str, exclusive: bool = False, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """Add ``name``: the running 'max', 'sum' or 'last' (last non-null) of ``value`` over ``keys`` in ``order``.
+
+    Tables of more than ``hot_bytes``, or of unknown size, are range-sorted: every partition adds up its own rows, and a
+    prefix scan carries what earlier partitions hold of a key, so a key may hold any share of the rows.
+    ``exclusive`` leaves the row itself out. Null keys are one key; ties in ``order`` are as arbitrary as in any window.
+    """
+    agg = {"max": F.max, "sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}[fn]
+    last = -1 if exclusive else 0
+    if (size := plan_bytes(df)) is not None and size < hot_bytes:
+        return df.withColumn(name, agg(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)))
+    cols = df.columns
+    d = materialize(range_sorted(df.withColumn("_v", value), [*keys, *order], range_partitions(df.sparkSession, df)), "running")
+    d = d.withColumn("_l", agg("_v").over(Window.partitionBy("pid", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)))
+    total = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))) if fn == "last" else agg("_v")
+    carry = exclusive_scan(d.groupBy("pid", *keys).agg(total.alias("_t")), keys, "_t", fn, "_c").filter("_c is not null")
+    carry = carry.select(F.col("pid").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_c")
+    on = d["pid"] == carry["_p"]
+    for i, k in enumerate(keys):
+        on = on & d[k].eqNullSafe(carry[f"_k{i}"])
+    merged = {"max": F.greatest("_l", "_c"), "sum": F.coalesce(F.col("_l") + F.col("_c"), F.col("_l"), F.col("_c")), "last": F.coalesce("_l", "_c")}[fn]
+    return d.join(carry, on, "left").select(*cols, merged.alias(name))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .hot import HOT_BYTES, running
 
-def islands(df: DataFrame, entity: str, start: str, end: str, gap: int, least: int = 0) -> DataFrame:
+
+def islands(df: DataFrame, entity: str, start: str, end: str, gap: int, least: int = 0, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Blocks of intervals that lie at most ``gap`` apart, at least ``least`` long: (entity, block, start, end, n)."""
-    order = Window.partitionBy(entity).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col(start) - reach > gap), 1).otherwise(0)
-    flagged = df.select(entity, F.col(start).alias("_s"), F.col(end).alias("_e"), new.alias("_new"))
-    run = flagged.withColumn("block", F.sum("_new").over(Window.partitionBy(entity).orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, 0)))
+    d = df.select(entity, F.col(start).alias("_s"), F.col(end).alias("_e"))
+    reached = running(d, [entity], ["_s", "_e"], F.col("_e"), "max", "_reach", exclusive=True, hot_bytes=hot_bytes)
+    new = F.when(F.col("_reach").isNull() | (F.col("_s") - F.col("_reach") > gap), 1).otherwise(0)
+    run = running(reached.withColumn("_new", new).drop("_reach"), [entity], ["_s", "_e"], F.col("_new"), "sum", "block", hot_bytes=hot_bytes)
     out = run.groupBy(entity, "block").agg(F.min("_s").alias("start"), F.max("_e").alias("end"), F.count(F.lit(1)).alias("n"))
     return out.filter(F.col("end") - F.col("start") >= least)
 
@@ -30,17 +31,17 @@ def range_join(points: DataFrame, blocks: DataFrame, entity: str, at: str, start
     return p.join(b, cond, how).drop(b["_b"]).drop("_b", "_ent")
 
 
-def asof_last(left: DataFrame, right: DataFrame, entity: str, at: str, tie: str, value: Column, name: str) -> DataFrame:
+def asof_last(left: DataFrame, right: DataFrame, entity: str, at: str, tie: str, value: Column, name: str, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Add to each left row the value of the last right row of its entity at or before it.
 
-    A union sorted by time with one window: no join. Right rows at the same time count, the one with the
+    A union sorted by time with one running value: no join. Right rows at the same time count, the one with the
     largest ``tie`` wins.
     """
     cols = left.columns
     l = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.select(value.alias("v")).schema[0].dataType))
     r = right.select(*[F.col(c) if c in (entity, at, tie) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols], F.lit(0).alias("_side"), value.alias("_v"))
-    w = Window.partitionBy(entity).orderBy(at, "_side", tie).rowsBetween(Window.unboundedPreceding, 0)
-    return l.unionByName(r).withColumn(name, F.last("_v", ignorenulls=True).over(w)).filter("_side = 1").select(*cols, name)
+    both = running(l.unionByName(r), [entity], [at, "_side", tie], F.col("_v"), "last", name, hot_bytes=hot_bytes)
+    return both.filter("_side = 1").select(*cols, name)
 
 
 def intersections(a: DataFrame, b: DataFrame, entity: str, bucket: int) -> DataFrame:
@@ -53,9 +54,9 @@ def intersections(a: DataFrame, b: DataFrame, entity: str, bucket: int) -> DataF
     return j.select(entity, lo.alias("start"), hi.alias("end"))
 
 
-def runs(df: DataFrame, entity: str, mask: Column, *order: str) -> DataFrame:
+def runs(df: DataFrame, entity: str, mask: Column, *order: str, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """Numbers the stretches of equal mask within an entity, by the difference of two row numbers."""
     m = df.withColumn("mask", mask)
-    a = F.row_number().over(Window.partitionBy(entity).orderBy(*order))
-    b = F.row_number().over(Window.partitionBy(entity, "mask").orderBy(*order))
-    return m.withColumn("run", a - b)
+    a = running(m, [entity], list(order), F.lit(1), "sum", "_a", hot_bytes=hot_bytes)
+    b = running(a, [entity, "mask"], list(order), F.lit(1), "sum", "_b", hot_bytes=hot_bytes)
+    return b.withColumn("run", F.col("_a") - F.col("_b")).drop("_a", "_b")
