@@ -46,7 +46,9 @@ def band_slots(s, d):
 def average_pre_post(s, d):
     """Mean of a recording's exponents before and after 30 s, or whichever exists."""
     g = _bins(s, d).groupBy("recording_id").agg(F.avg(F.when(F.col("t") < 30, F.col("e"))).alias("pre"), F.avg(F.when(F.col("t") >= 30, F.col("e"))).alias("post"))
-    return g.select("recording_id", r6("pre").alias("pre"), r6("post").alias("post"), r6(F.coalesce((F.col("pre") + F.col("post")) / 2, "pre", "post")).alias("mean"))
+    # means of few short decimals: nine places keep away from halves
+    r9 = lambda c: F.round(c, 9)
+    return g.select("recording_id", r9("pre").alias("pre"), r9("post").alias("post"), r9(F.coalesce((F.col("pre") + F.col("post")) / 2, "pre", "post")).alias("mean"))
 
 
 def pre_post_within(s, d):
@@ -253,8 +255,8 @@ def oracle_sql():
     return {
         "formatted_p": p + "select p_partkey, t as text, trim(t || ' ' || case when p is null then '' when p < 0.001 then '***' when p < 0.01 then '**' when p < 0.05 then '*' else 'ns' end) with_stars from f",
         "band_slots": x + f"select recording_id, {bands} from (select *, " + "coalesce(" + ", ".join(f"case when exp_lambda between {lo} and {hi} then '{n}' end" for n, lo, hi in BANDS) + ") b from x where exp_lambda is not null and recording_id is not null) group by 1",
-        "average_pre_post": b + "select recording_id, round(pre, 6) pre, round(post, 6) post, round(coalesce((pre + post) / 2, pre, post), 6) mean from pp",
-        "pre_post_within": b + ", c as (select recording_id, max(cell) cell from recordings where cell is not null group by 1), g as (select cell, count(*) n, avg(x) m, stddev_samp(x) sd, avg(case when x > 0 then 1.0::double else 0 end) up from (select recording_id, round(post, 6) - round(pre, 6) x from pp) join c using (recording_id) where x is not null group by 1) select cell, n, round(m / sd, 5) dz, round(m / sd * (1 - 3 / (4.0::double * (n - 1) - 1)), 5) gz, round(up, 6) rises from g where n > 2 and sd > 0",
+        "average_pre_post": b + "select recording_id, round(pre, 9) pre, round(post, 9) post, round(coalesce((pre + post) / 2, pre, post), 9) mean from pp",
+        "pre_post_within": b + ", c as (select recording_id, max(cell) cell from recordings where cell is not null group by 1), g as (select cell, count(*) n, avg(x) m, stddev_samp(x) sd, avg(case when x > 0 then 1.0::double else 0 end) up from (select recording_id, round(post, 9) - round(pre, 9) x from pp) join c using (recording_id) where x is not null group by 1) select cell, n, round(m / sd, 5) dz, round(m / sd * (1 - 3 / (4.0::double * (n - 1) - 1)), 5) gz, round(up, 6) rises from g where n > 2 and sd > 0",
         "label_bin_groups": x + f", b as (select bin_id, any_value(recording_id) recording_id, any_value({fin('t_bins_s')}) t, any_value({fin('exponent')}) e from spectral group by 1), l as (select distinct recording_id, floor(spk_times_ms / 1000) s, f, v from (select recording_id, spk_times_ms, 'peak_amp' f, pa v from x union all select recording_id, spk_times_ms, 'exp_const', ec from x) where v is not null and spk_times_ms is not null) select b.recording_id, f feature, v as label, count(*) n_bins, round(avg(e), 6) exponent from b join l on b.recording_id = l.recording_id and floor(b.t) = l.s group by 1, 2, 3",
         "metadata_update": x + "select recording_id, n.cell, n, lower(trim(patch_type)) patch_type, cortical_depth from (select recording_id, cell, count(*) n from x where cell is not null group by 1, 2) n left join cells c on c.cell = n.cell",
         "window_order": x + "select spk_id, row_number() over (partition by recording_id order by log_isi, spk_id) place from x where log_isi is not null and recording_id is not null",
