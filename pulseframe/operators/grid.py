@@ -39,7 +39,8 @@ def regular_grid(readings: DataFrame, spans: DataFrame, slot_ms: float, gap_slot
     held = r.join(span, "source").filter("t < d").groupBy("source", "slot").agg(
         F.min(tv).alias("lo"), F.max(tv).alias("hi"), F.max(F.when(F.col("t") <= mid, tv)).alias("b"), F.min(F.when(F.col("t") >= mid, tv)).alias("f")
     )
-    block = lambda s: F.floor(s / BLOCK)
+    wide = max(BLOCK, gap_slots + 1)  # a halo never skips a block
+    block = lambda s: F.floor(s / wide)
     slot = F.col("slot")
     # the halo: a slot's readings are also seen by a neighbouring block within the gap limit
     seen = F.array_distinct(F.array(block(slot - gap_slots), block(slot), block(slot + gap_slots)))

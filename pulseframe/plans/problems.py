@@ -73,8 +73,9 @@ def p5_series(spark: SparkSession, d: str) -> DataFrame:
     label = F.lower(F.trim("peak_amp_cluster"))
     number = regular_grid(spikes.select("source", "t", F.col("log_isi").alias("v")), spans, 2000.0)
     labels = regular_grid(spikes.select("source", "t", F.when(label.isin("low", "mid", "high"), label).alias("v")), spans, 2000.0, kind="label")
-    out = lambda df, name: df.select(F.col("source").alias("recording_id"), F.lit(name).alias("series_name"), "slot_no", "status", F.col("value").cast("string").alias("value"))
-    return out(number, "log_isi").unionByName(out(labels, "peak_amp_cluster"))
+    none = F.lit(None)
+    out = lambda df, name, v, text: df.select(F.col("source").alias("recording_id"), F.lit(name).alias("series_name"), "slot_no", "status", v.alias("value"), text.alias("label"))
+    return out(number, "log_isi", F.round("value", 5), none.cast("string")).unionByName(out(labels, "peak_amp_cluster", none.cast("double"), F.col("value")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +92,27 @@ select recording_id, series_name, slot_no from g anti join h using (recording_id
 """
 
 
+def _series_sql(name: str, value: str, test: str, number: bool) -> str:
+    """One series by two as-of joins of the grid with the slots that hold readings."""
+    closer = "case when z is null or m - a.t <= z.t - m then a.v else z.v end"
+    linear = "case when z.t > a.t then a.v + (z.v - a.v) * ((m - a.t) / (z.t - a.t)) when a is not null and z is not null then a.v end"
+    result = f"case when o then coalesce({linear}, {closer}) else {linear} end" if number else closer
+    shown = f"round({result}, 5) as value, cast(null as varchar) as label" if number else f"cast(null as double) as value, {result} as label"
+    return f"""select recording_id, '{name}' series_name, slot_no, case when o then 'observed' when ({result}) is not null then 'filled' else 'missing' end status, {shown} from (
+ with r as (select recording_id, max(duration_ms) d from recordings where recording_id in (select recording_id from cluster_df) group by 1),
+ x as (select c.recording_id, spk_times_ms t, {value} v, floor(spk_times_ms / 2000) s, (floor(spk_times_ms / 2000) + 0.5::double) * 2000 m from cluster_df c join r using (recording_id) where spk_times_ms >= 0 and not isnan(spk_times_ms) and spk_times_ms < d and {test}),
+ h as (select recording_id, cast(s as bigint) s, min({{'t': t, 'v': v}}) lo, max({{'t': t, 'v': v}}) hi, max({{'t': t, 'v': v}}) filter (where t <= m) b, min({{'t': t, 'v': v}}) filter (where t >= m) f from x group by 1, 2),
+ g as (select recording_id, unnest(range(0, cast(ceil(d / 2000) as bigint))) slot_no from r)
+ select g.recording_id, slot_no, (slot_no + 0.5::double) * 2000 m, h.s is not null o,
+  case when h.s is not null then h.b when slot_no - p.s <= 5 then p.hi end a, case when h.s is not null then h.f when n.s - slot_no <= 5 then n.lo end z
+ from g left join h on h.recording_id = g.recording_id and h.s = slot_no
+ asof left join h p on p.recording_id = g.recording_id and p.s < slot_no
+ asof left join h n on n.recording_id = g.recording_id and n.s > slot_no)"""
+
+
+P5_SERIES_SQL = _series_sql("log_isi", "log_isi", "log_isi is not null and not isnan(log_isi)", True) + " union all " + _series_sql("peak_amp_cluster", "lower(trim(peak_amp_cluster))", "lower(trim(peak_amp_cluster)) in ('low', 'mid', 'high')", False)
+
+
 def _export_lines(spark: SparkSession, d: str) -> DataFrame:
     return materialize(parse_lines(_table(spark, d, "cluster_exports")), "lines")
 
@@ -126,4 +148,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_SQL, "p4_stream": P4_SQL, "p5_found": P5_SQL}
+    return {"p4_found": P4_SQL, "p4_stream": P4_SQL, "p5_found": P5_SQL, "p5_series": P5_SERIES_SQL}
